@@ -140,21 +140,24 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(entity, term, removed): the terms that give an entity away."""
     held = found.where(F.size("found") > 0)
+    n = found.agg(F.count("*").alias("n"))
     ents = held.select(F.explode(F.array_distinct(F.transform("found", lambda x: _entity(x["kind"], x["m"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
     pairs = held.select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p"))
     both = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("c")).where(F.col("c") >= support)
-    both = stage(both, "pii-pairs")
+    # a term is in at least as many documents as it is near some entity in: pairs that this bound rules out already needn't be counted in all texts
+    seen = held.select(F.explode(F.array_distinct(F.transform("near", lambda w: w["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    ic = F.log2(F.col("n") / F.col("df_e"))
+    pmi = lambda df_t: F.log2(F.col("c") * F.col("n") / (F.col("df_e") * F.col(df_t)))
+    both = both.join(ents, "entity").join(seen, "term").crossJoin(F.broadcast(n))  # n is one row
+    both = stage(both.where((ic > 0) & (pmi("least") >= share * ic)), "pii-pairs")
     wanted = stage(both.select("term").distinct(), "pii-terms")
     n_terms = wanted.count()
     if not n_terms:
         return both.select("entity", "term", F.lit(False).alias("removed")).limit(0)
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(_WORD), F.lit(0)))).alias("term"))
     counted = words.join(F.broadcast(wanted) if n_terms <= most_broadcast else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    n = found.agg(F.count("*").alias("n"))
-    told = both.join(counted, "term").join(ents, "entity").crossJoin(F.broadcast(n))  # n is one row
-    ic = F.log2(F.col("n") / F.col("df_e"))
-    pmi = F.log2(F.col("c") * F.col("n") / (F.col("df_e") * F.col("df_t")))
-    return told.where((ic > 0) & (pmi >= share * ic)).select("entity", "term", (pmi >= ic).alias("removed"))
+    told = both.join(counted, "term")
+    return told.where(pmi("df_t") >= share * ic).select("entity", "term", (pmi("df_t") >= ic).alias("removed"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
