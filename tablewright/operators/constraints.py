@@ -19,7 +19,10 @@ def orphans(child: DataFrame, fk: ForeignKeyMeta, parent: DataFrame) -> DataFram
 
 def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(columns, n) of keys that more than one row has; a null part never collides."""
-    return df.dropna(subset=columns).groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("n")).where("n > 1")
+    name = "n"
+    while name in columns:
+        name = "_" + name
+    return df.dropna(subset=columns).groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias(name)).where(F.col(name) > 1)
 
 
 def violations(frames: dict[str, DataFrame], schema: SchemaMeta) -> list[str]:

@@ -84,6 +84,7 @@ class Generator:
         self.pools: dict[tuple[str, tuple[str, ...]], Pool] = {}
         self.frames: dict[str, DataFrame] = {}  # with RID
         self.given = parents or {}
+        self.spots: dict[tuple[str, str], Column] = {}  # (table, foreign key) -> parent's index by a bijection, where a unique constraint needs one
 
     # ------------------------------------------------------------- references
     def pool(self, fk: ForeignKeyMeta) -> Pool | None:
@@ -125,12 +126,13 @@ class Generator:
             return rows.withColumns({o: F.lit(None).cast(kinds.get(r, "string")) for o, r in new})
         x = h(self.config.seed, t.qualified, fk.name, rid)
         pins = [(o, r) for o, r in zip(fk.columns, fk.ref_columns) if o in taken]
+        spot = self.spots.get((t.qualified, fk.name), pick(x, pool.size))
         if not pins and pool.serial:
             kind = dict(pool.frame.dtypes)[pool.serial]
-            return rows.withColumn(fk.columns[0], (pick(x, pool.size) + 1).cast(kind))
+            return rows.withColumn(fk.columns[0], (spot + 1).cast(kind))
         if not pins:
             keys = pool.frame.select(F.col(IDX).alias("__at"), *[F.col(f"`{r}`").alias(o) for o, r in new])
-            return rows.withColumn("__at", pick(x, pool.size)).join(keys, "__at").drop("__at")
+            return rows.withColumn("__at", spot).join(keys, "__at").drop("__at")
         # rows of the same pin are numbered among themselves
         named = pool.frame.select(*[F.col(f"`{r}`").alias(f"__p{i}") for i, (_, r) in enumerate(pins)], *[F.col(f"`{r}`").alias(f"__v{i}") for i, (_, r) in enumerate(new)])
         pin_names = [f"__p{i}" for i in range(len(pins))]
@@ -192,9 +194,29 @@ class Generator:
         held = {c for fk in t.foreign_keys if fk.name in later for c in fk.columns}
         return [(n, cols) for n, cols in t.unique_sets() if not held & set(cols) and not any(t.column(c).sequence_backed for c in cols)]
 
+    def bijections(self, t: TableMeta, base: DataFrame, later: set[str], driven: ForeignKeyMeta | None) -> None:
+        """A unique set made up of whole foreign keys takes a different combination of parents for each row, by construction."""
+        for name, cols in self.unique_sets(t, later):
+            fks = [fk for fk in t.foreign_keys if set(fk.columns) <= set(cols)]
+            covered = [c for fk in fks for c in fk.columns]
+            if sorted(covered) != sorted(cols) or any(fk is driven or fk.name in later or self.schema.find(fk.ref_table) in (None, t) or (t.qualified, fk.name) in self.spots for fk in fks):
+                continue
+            pools = [self.pool(fk) for fk in fks]
+            if any(p is None or not p.size for p in pools):
+                continue
+            n, size = base.count(), math.prod(p.size for p in pools)
+            if n > size:
+                raise SchemaError(self.exhausted(t, [(name, cols)]))
+            at = mixed_index(F.col(RID), n, size, self.config.seed, f"{t.qualified}{name}")
+            for fk, p in zip(fks, pools):
+                self.spots[t.qualified, fk.name] = F.pmod(at, F.lit(p.size))
+                at = F.floor(at / p.size)
+
     def unique_rows(self, t: TableMeta, base: DataFrame, later: set[str], driven: ForeignKeyMeta | None) -> DataFrame:
         """Rounds: a row that isn't the first of its key, by (retry, index), draws again. First rows of a round stay first, so it settles."""
-        sets = self.unique_sets(t, later)
+        self.bijections(t, base, later, driven)
+        made = {c for (q, k) in self.spots if q == t.qualified for fk in t.foreign_keys if fk.name == k for c in fk.columns}
+        sets = [(n, cols) for n, cols in self.unique_sets(t, later) if not set(cols) <= made]
         state = base
         if not sets:
             return self.build(t, state, later, driven)
@@ -272,9 +294,14 @@ def generate(spark: SparkSession, schema: SchemaMeta, config: Config, profile: P
     return frames
 
 
+def mixed_index(rid: Column, n: int, size: int, seed: str, name: str) -> Column:
+    """A different number below `size` for each of the n <= size row indexes: a step that shares no factor with size, and an offset."""
+    most = max(1, (1 << 62) // max(n, 1))
+    step = next((s for s in range(min(size // 2 + 1, most), 0, -1) if math.gcd(s, size) == 1), 1)
+    return F.pmod(rid * step + u(h(seed, name, "pairs", F.lit("0"))) % size, F.lit(size))
+
+
 def unique_pairs(rows: DataFrame, rid: str, n_a: int, n_b: int, seed: str, name: str) -> DataFrame:
     """rows with __a and __b: a different pair of indexes for each row, by construction: a fixed bijection of the product of both index spaces."""
-    size = n_a * n_b
-    step = next(s for s in range(size // 2 + 1, 2 * size + 2) if math.gcd(s, size) == 1)
-    at = F.pmod(F.col(rid) * step + u(h(seed, name, "pairs", F.lit("0"))) % size, F.lit(size))
+    at = mixed_index(F.col(rid), n_a * n_b, n_a * n_b, seed, name)
     return rows.withColumns({"__a": F.floor(at / n_b).cast("long"), "__b": F.pmod(at, F.lit(n_b))})

@@ -148,7 +148,7 @@ class SchemaMeta:
     def to_yaml(self) -> str:
         def lean(x):
             if isinstance(x, dict):
-                return {k: lean(v) for k, v in x.items() if v not in (None, False, [], {})}
+                return {k: lean(v) for k, v in x.items() if v is not None and v != [] and (v is not False or k == "nullable")}
             return [lean(v) for v in x] if isinstance(x, list) else x
 
         return yaml.safe_dump(lean(asdict(self)), sort_keys=True)
