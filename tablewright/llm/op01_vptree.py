@@ -38,7 +38,7 @@ K = 20
 FACTOR = 0.75
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4_096
-LEAF = 128
+LEAF = 256
 
 
 class Tree:
@@ -79,10 +79,15 @@ class Tree:
                 far = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (q @ p.T), 0))
                 far = np.round(far, 12)  # so that equal vectors tie, whatever their column
                 far[skip[who][:, None] == ids[own][None, :]] = np.inf
-                near = far.min(axis=1) <= best[who, -1]
+                hits = (far <= best[who, -1:]).sum(axis=1)
+                near = hits > 0
+                if not near.any():
+                    return
                 who, far = who[near], far[near]
-                all_far = np.concatenate((best[who], far), axis=1)
-                all_place = np.concatenate((place[who], np.broadcast_to(own, far.shape)), axis=1)
+                m = int(hits.max())  # the m nearest hold all rows that are as near as some query's k-th best
+                some = np.argpartition(far, m - 1, axis=1)[:, :m] if m < far.shape[1] else np.broadcast_to(np.arange(far.shape[1]), far.shape)
+                all_far = np.concatenate((best[who], np.take_along_axis(far, some, axis=1)), axis=1)
+                all_place = np.concatenate((place[who], own[some]), axis=1)
                 all_ids = np.where(all_place >= 0, ids[all_place], np.iinfo(np.int64).max)
                 top = np.lexsort((all_ids, all_far), axis=1)[:, :k]
                 best[who] = np.take_along_axis(all_far, top, axis=1)
