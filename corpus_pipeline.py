@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import op03_bpe, op04_quality, op06_pii, op08_simhash, op10_decontam
-from tablewright.llm.common import fresh, stage, table
+from tablewright.llm.common import stage, table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the group's smallest doc_id stays; a row without an id stays."""
     classes = op08_simhash.near_duplicates(docs)
-    (name,) = fresh(docs, "gone_id")
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
-    return kept.select(*docs.columns)
+    return without(docs, "doc_id", classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

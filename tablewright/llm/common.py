@@ -45,6 +45,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, thing):
+    """Broadcasts an object; the function returned gives it back in a task. The object's class travels along, so executors need no copy of this package."""
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    def get():
+        import pickle
+
+        return pickle.loads(sent.value)
+
+    return get
+
+
+MOST_IDS = 1_000_000
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """df without the rows whose id is in `ids` (one column of longs). Up to `most` ids (counted) are broadcast, so that texts needn't move; beyond that the join shuffles. A row with a null id stays."""
+    (name,) = fresh(df, "gone_id")
+    gone = stage(ids.toDF(name).where(F.col(name).isNotNull()).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    return df.join(side, F.col(id_col).cast("long") == F.col(name), "left_anti").select(*df.columns)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, spans_of
+from .common import crc_mod, share, spans_of
 
 DIMS = 4096
 SAMPLE_ROWS = 1500
@@ -154,7 +154,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 def _predict(shared):
     def run(batches):
-        model = shared.value
+        model = shared()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             names, scores, rejected = model.predict(texts)
@@ -166,7 +166,7 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, rejected."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

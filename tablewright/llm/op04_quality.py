@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, bounded_ids, crc_mod, fresh, spans_of
+from .common import WordHasher, bounded_ids, crc_mod, fresh, share, spans_of
 
 DIMS = 4096
 RANK = 64
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **op
 
 def _score(shared, text_at: int, names):
     def run(batches):
-        model = shared.value
+        model = shared()
         for b in batches:
             s = model.score([t or "" for t in b.column(text_at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=names)
@@ -161,7 +161,7 @@ def with_score(docs: DataFrame, model: Model, name: str, text_col: str = "text")
     """docs with one more column: the score, 0 to 1, higher where label 1 is likelier."""
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(_score(shared, docs.columns.index(text_col), [*docs.columns, name]), schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, share
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
 #: kind, full expression (leftmost spans), group that is measured, its least length, expression of what a surviving match contains (for the automaton; a mere prefix for the added rules, as counters of several rules multiply its states).
@@ -280,7 +280,7 @@ class Scanner:
 
 def _digest(shared):
     def run(batches):
-        scanner = shared.value
+        scanner = shared()
         kinds = [r[0] for r in scanner.rules]
         for b in batches:
             texts = byte_texts(b.column(1))
@@ -307,7 +307,7 @@ def _digest(shared):
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))  # a few thousand states, whatever the documents are
+    shared = share(docs.sparkSession, Scanner(rules))  # a few thousand states, whatever the documents are
     return rows.mapInArrow(_digest(shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 

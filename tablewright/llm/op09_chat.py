@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import share
 from .op03_bpe import byte_alphabet, default_path
 
 MARKS = ("<|turn|>", "<|says|>", "<|done|>")
@@ -55,6 +56,9 @@ def unescape(text: str) -> str:
 
 
 def _tokenizer(spec: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(spec)
@@ -64,7 +68,7 @@ def _tokenizer(spec: str):
 
 def _encode(shared):
     def run(batches):
-        t = _tokenizer(shared.value)
+        t = _tokenizer(shared())
         for b in batches:
             roles = [escape(x or "") for x in b.column(2).to_pylist()]
             texts = [escape(x or "") for x in b.column(3).to_pylist()]
@@ -79,7 +83,7 @@ def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
     spark = rows.sparkSession
     with open(path or default_path(), encoding="utf-8") as f:
         spec = f.read()
-    shared = spark.sparkContext.broadcast(spec)
+    shared = share(spark, spec)
     first = _tokenizer(spec).get_vocab_size()
     turn, says, done = (F.array(F.lit(first + k)) for k in range(3))
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -98,7 +102,7 @@ def _read_back(shared, first: int):
     def run(batches):
         import json
 
-        body, alphabet = json.loads(shared.value), byte_alphabet()
+        body, alphabet = json.loads(shared()), byte_alphabet()
         table = {ord(c): chr(b) for b, c in alphabet.items()}
         piece = {i: p.translate(table).encode("latin-1") for p, i in body["model"]["vocab"].items()}
         piece |= {t["id"]: t["content"].encode() for t in body.get("added_tokens", [])}
@@ -133,7 +137,7 @@ def digests(chats: DataFrame, path: str | None = None) -> DataFrame:
     """What the formatted ids say, read back from them alone."""
     with open(path or default_path(), encoding="utf-8") as f:
         spec = f.read()
-    shared = chats.sparkSession.sparkContext.broadcast(spec)
+    shared = share(chats.sparkSession, spec)
     return chats.mapInArrow(_read_back(shared, _tokenizer(spec).get_vocab_size()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, gram_hashes, mixed, spans_of
+from .common import WordHasher, gram_hashes, mixed, share, spans_of, without
 
 SHINGLE = 5
 RADIUS = 15
@@ -154,7 +154,7 @@ class Items:
 
 def _scan(items_bc, threshold):
     def run(batches):
-        items, hasher = items_bc.value, WordHasher()
+        items, hasher = items_bc(), WordHasher()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             out = []
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found, held, chars = None, [], 0
 
     def block(held):
-        bc = spark.sparkContext.broadcast(Items(held, radius))
+        bc = share(spark, Items(held, radius))
         out = rows.mapInArrow(_scan(bc, threshold), SCHEMA)
         return out if found is None else found.union(out)
 
@@ -200,8 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows in which a benchmark item was found. A row without an id can't be named, so it is kept."""
-    hit = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, **options).select("doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
