@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-FACTOR = 0.75
+FACTOR = 0.9
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4_096
 LEAF = 256
