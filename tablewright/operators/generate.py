@@ -231,9 +231,10 @@ class Generator:
                 rank = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in cols]).orderBy(RETRY, RID))
                 rows = rows.withColumn(f"__rank{i}", rank)
                 lost = lost | (whole & (F.col(f"__rank{i}") > 1))
-            marked = settle(rows.withColumn("__lost", lost).drop(*[f"__rank{i}" for i in range(len(sets))]), "unique")
+            # only indexes and retries are kept from round to round; the other columns are made once, at the end
+            marked = settle(rows.select(*keep, lost.alias("__lost")), "unique")
             if not marked.where("__lost").limit(1).count():
-                return marked.drop("__lost")
+                return self.build(t, marked.drop("__lost"), later, driven)
             state = marked.select(*[F.col(c) if c != RETRY else (F.col(RETRY) + F.col("__lost").cast("int")).alias(RETRY) for c in keep])
         raise SchemaError(self.exhausted(t, sets))
 

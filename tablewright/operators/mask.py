@@ -129,7 +129,16 @@ def _paths_udf(paths: dict[str, str], seed: str, where: str):
             return n % 2 == 1
         if isinstance(x, (int, float)):
             return n % 1_000_000
-        return generators.WORDS[n % len(generators.WORDS)] if isinstance(x, str) else None
+        if not isinstance(x, str):
+            return None
+        kind, m = generators.by_name(path.rpartition(".")[2]), int(d[15:30], 16)
+        first, last = generators.FIRST[n % len(generators.FIRST)], generators.LAST[m % len(generators.LAST)]
+        if kind == "email":
+            return f"{first}.{last}{int(d[30:45], 16) % 100_000}@example.com".lower()
+        if kind == "phone":
+            return f"+1-555-{n % 1000:03d}-{m % 10_000:04d}"
+        names = {"first_name": first, "last_name": last, "person_name": f"{first} {last}"}
+        return names.get(kind) or generators.WORDS[n % len(generators.WORDS)]
 
     def change(x, way: str, rid: str, path: str):
         if way == "redact":

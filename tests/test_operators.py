@@ -64,6 +64,9 @@ def test_json_paths(spark):
     first = json.loads(got[0])
     assert first["a"]["b"].startswith("masked_") and first["a"]["c"] == [1] and isinstance(first["n"], int) and first["t"] is None
     assert got[1:] == ["not json", None, "[1,2]", '{"a":7}']
+    named = spark.createDataFrame([(1, '{"email":"a@b.c","u":{"full_name":"x"},"z":"q","l":[1]}')], "id int, js string")
+    doc = json.loads(mask.mask_table(named, t, conf(js=ColumnConfig(json_paths={"email": "fake", "u.full_name": "fake", "z": "fake", "l": "fake"}))).first().js)
+    assert doc["email"].endswith("@example.com") and " " in doc["u"]["full_name"] and doc["z"] in G.WORDS and doc["l"] is None
     assert mask.json_keys(df, "js") == ["a", "a.b", "a.c", "n", "t"]
 
 
