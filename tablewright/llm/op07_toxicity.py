@@ -30,14 +30,13 @@ score is 0; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, crc_mod, stage
+from .common import byte_texts, crc_mod, share, stage
 from .op04_quality import sample
 
 ORDER, DECAY = 3, 0.6
@@ -137,44 +136,65 @@ class Model:
         y = np.array(labels)
         if not (y == 1).any() or not (y == 0).any():
             return
-        sentences = [[{u.decode("utf-8", "replace") for u in units(s.encode())} for s in re.split(r"[.!?\n]+", t)] for t in texts]
-        bags = [set().union(*s) for s in sentences]
+        number: dict[bytes, int] = {}
+        split = re.compile(r"[.!?\n]+")
         # support is counted over different sentences: a copied document speaks once
-        apart = [{frozenset(s) for own, v in zip(sentences, y) if v == k for s in own if s} for k in (0, 1)]
-        seen = [Counter(u for s in a for u in s) for a in apart]
+        apart: list[set[tuple[int, ...]]] = [set(), set()]
+        bags = []
+        for t, v in zip(texts, labels):
+            bag: set[int] = set()
+            for sentence in split.split(t):
+                own = {number.setdefault(u, len(number)) for u in units(sentence.encode())}
+                if own:
+                    apart[int(v == 1)].add(tuple(sorted(own)))
+                    bag |= own
+            bags.append(np.fromiter(bag, np.int32, len(bag)) if v == 1 else None)
+        names = [u.decode("utf-8", "replace") for u in number]
+        del number
+        seen = np.zeros((2, len(names)), np.int64)
+        for k in (0, 1):
+            for own in apart[k]:
+                seen[k, list(own)] += 1
         n = [len(a) for a in apart]
-        odds = {u: float(np.log((c + 0.1) / (n[1] + 1)) - np.log((seen[0][u] + 0.1) / (n[0] + 1))) for u, c in seen[1].items() if c > 1 and ORDER <= len(u) <= _PIECE}
-        odds = {u: v for u, v in odds.items() if v > np.log(4)}
-        bad = self._cover([b.intersection(odds) for b, v in zip(bags, y) if v == 1], odds)
+        usable = np.array([ORDER <= len(u) <= _PIECE for u in names])
+        odds = np.log((seen[1] + 0.1) / (n[1] + 1)) - np.log((seen[0] + 0.1) / (n[0] + 1))
+        odds[(seen[1] < 2) | ~usable | (odds <= np.log(4))] = 0.0
+        bad = [names[i] for i in self._cover([set(b[odds[b] > 0].tolist()) for b in bags if b is not None], odds)]
         if not bad:
             return
-        common = [u for u, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if 3 <= len(u) <= _PIECE and u not in bad][: LANDMARKS // 2]
+        taken = set(bad)
+        common = [names[i] for i in np.lexsort((np.arange(len(names)), -seen[0] * usable))[: LANDMARKS // 2 + len(bad)].tolist() if usable[i] and names[i] not in taken][: LANDMARKS // 2]
         self.marks = Landmarks(bad + common)
         own = self.marks(bad + common).astype(np.float64)
         value, vector = np.linalg.eigh(own)
-        root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 2e-3))) @ vector.T
-        pool = sorted(u for u in seen[1].keys() | seen[0].keys() if ORDER <= len(u) <= _PIECE)
+        root = (vector @ np.diag(1 / np.sqrt(np.maximum(value, 2e-3))) @ vector.T).astype(np.float32)
+        where = np.flatnonzero(usable & ((seen[1] > 0) | (seen[0] > 1)))  # the others are too many and too rare to learn from
+        pool = [names[i] for i in where.tolist()]
         k = self.marks(pool)
-        place = {u: i for i, u in enumerate(pool)}
-        x = k @ root
-        margin = np.array([odds.get(u, 0.0) * np.sqrt(seen[1][u]) - 4.0 for u in pool])
+        at = np.full(len(names), -1, np.int64)
+        at[where] = np.arange(len(where))
+        margin = (odds * np.sqrt(seen[1]) - 4.0)[where]
+        pure = (seen[1] * n[0] >= 8 * seen[0] * n[1])[where]
         witness = set()
         for sentence in apart[1]:
-            own = [place[u] for u in sentence if u in place]
+            own = [i for i in at[list(sentence)].tolist() if i >= 0]
             best = max(own, key=lambda i: (margin[i], -i), default=None)
-            if best is not None and margin[best] > 0 and seen[1][pool[best]] * n[0] >= 8 * seen[0][pool[best]] * n[1]:
+            if best is not None and margin[best] > 0 and pure[best]:
                 witness.add(best)
         plus = np.array(sorted(witness), np.int64)
         if not len(plus):
             return
+        del apart, bags
+        x = k @ root
         # a witness with one character put in is as toxic as the witness
-        wider = sorted({u[:i] + c + u[i:] for u in (pool[i] for i in plus) for i in range(1, len(u)) for c in "xe"} - place.keys())
+        wider = sorted({u[:i] + c + u[i:] for u in (pool[i] for i in plus) for i in range(1, len(u)) for c in "xe"} - set(pool))
         wider = wider[:: max(1, len(wider) // 1500)]
         x_plus, n_plus = np.concatenate((x[plus], self.marks(wider) @ root)), len(plus) + len(wider)
-        clean = np.array([seen[0][u] * n[1] > seen[1][u] * n[0] for u in pool])
+        clean = (seen[0] * n[1] > seen[1] * n[0])[where]
         clean[plus] = False
         minus = np.flatnonzero(clean)
-        likest = minus[np.argsort(-k[minus][:, : len(bad)].max(axis=1), kind="stable")[:3000]]
+        likest = minus[np.argsort(-k[:, : len(bad)].max(axis=1)[minus], kind="stable")[:3000]]
+        del k
         chosen = np.unique(np.concatenate((likest, minus[:: max(1, len(minus) // 2000)])))
         for _ in range(3):  # clean units on the wrong side of the margin join, round by round
             rows = np.concatenate((x_plus, x[chosen]))
@@ -187,8 +207,8 @@ class Model:
                 break
             chosen = more
         self.weights, self.bias = (root @ w).astype(np.float32), b
-        known = {u: float(m) for u, m in zip(pool, margin) if m > self.floor}
-        named = {u.encode(): m for u, m in known.items()}
+        named = {pool[i].encode(): float(margin[i]) for i in np.flatnonzero(margin > self.floor).tolist()}
+        del x
         self.curve = self._monotone(np.array([self.amount(units(t.encode()), named) for t in texts]), y)
 
     def amount(self, own: list[bytes], notable: dict[bytes, float]) -> float:
@@ -196,9 +216,9 @@ class Model:
         return sum(notable[u] - self.floor for u in sorted(notable.keys() & own)) / (len(own) + 30) ** 0.5
 
     @staticmethod
-    def _cover(bags: list[set], odds: dict[str, float]) -> list[str]:
+    def _cover(bags: list[set[int]], odds: np.ndarray) -> list[int]:
         """Units that speak for as many toxic documents as can be: each choice leaves the documents it is in with less to say."""
-        inside: dict[str, list[int]] = {}
+        inside: dict[int, list[int]] = {}
         for d, b in enumerate(bags):
             for u in b:
                 inside.setdefault(u, []).append(d)
@@ -257,7 +277,7 @@ def _gather(batches):
 
 def _margins(shared):
     def run(batches):
-        model = shared.value
+        model = shared()
         for b in batches:
             strings = b.column(0).to_pylist()
             m = model.margins(strings)
@@ -269,7 +289,7 @@ def _margins(shared):
 
 def _look_up(shared, notable):
     def run(batches):
-        model, known = shared.value, notable.value
+        model, known = shared(), notable()
         for b in batches:
             out = [m + model.amount(units(t), known) for t, m in zip(byte_texts(b.column(0)), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.float64())], names=["text", "doc_id", "held_out", "amount"])
@@ -279,8 +299,8 @@ def _look_up(shared, notable):
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_units: int = BLOCK_UNITS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    spark = docs.sparkSession
+    shared = share(spark, model)
     text = F.col(text_col).cast("string").alias("text")
     distinct = docs.select(text).mapInArrow(_gather, "unit string").distinct()
     notable = stage(distinct.mapInArrow(_margins(shared), "unit string, margin double"), "toxicity-units")
@@ -290,8 +310,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     for r in notable.toLocalIterator():
         block[r.unit.encode()] = r.margin
         if len(block) == block_units:
-            rows, block = rows.mapInArrow(_look_up(shared, sc.broadcast(block)), schema), {}
-    rows = rows.mapInArrow(_look_up(shared, sc.broadcast(block)), schema)
+            rows, block = rows.mapInArrow(_look_up(shared, share(spark, block)), schema), {}
+    rows = rows.mapInArrow(_look_up(shared, share(spark, block)), schema)
     m, first, last = F.col("amount"), model.curve[0], model.curve[-1]
     score = F.when(m <= first[0], F.lit(first[1]))
     for (x0, p0), (x1, p1) in zip(model.curve, model.curve[1:]):
