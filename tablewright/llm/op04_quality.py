@@ -138,7 +138,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: st
     """At most `rows` labelled (text, label) rows on the driver."""
     own = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").dropDuplicates(["i"])
     ids = bounded_ids(own, "i", rows)
-    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "i").select("i", "t", "y").collect()  # `ids` has at most `rows` rows
+    met = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "i")  # `ids` has at most `rows` rows
+    got = met.groupBy("i").agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()  # one row for each id, however often the documents repeat it
     got.sort(key=lambda r: (r.i, r.t or ""))
     return [r.t or "" for r in got], [r.y for r in got]
 
