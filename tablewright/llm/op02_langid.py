@@ -76,8 +76,10 @@ class Grams:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts, dtype=np.float32) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Changes float32 counts in place."""
+    x = np.sqrt(counts, dtype=np.float32, out=counts if counts.dtype == np.float32 else None)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
     return x
 
 
@@ -101,11 +103,10 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str], dims: int = DIMS, per_language: int = PER_LANGUAGE) -> None:
         self.grams = Grams(dims)
         self.names = sorted(set(langs))
-        blocks, sizes = [], [len(t) for t in texts]
-        for lo, hi in spans_of(sizes, 1_000_000):
-            blocks.append(self.grams.counts(texts[lo:hi])[0].astype(np.float32))
-        counts = np.concatenate(blocks) if blocks else np.zeros((0, dims), np.float32)
-        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
+        counts = np.zeros((len(texts), dims), np.float32)  # the sample's rows x dims floats, weighted in place
+        for lo, hi in spans_of([len(t) + 2000 for t in texts], 400_000):
+            counts[lo:hi] = self.grams.counts(texts[lo:hi])[0]
+        self.idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 0.1).astype(np.float32)
         x, y = weighted(counts, self.idf), np.array(langs)
         centres, owner, floors = [], [], []
         for k, name in enumerate(self.names):

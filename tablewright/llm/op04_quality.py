@@ -97,9 +97,10 @@ class Model:
     def __init__(self, texts: list[str], labels: list[int], dims: int = DIMS, rank: int = RANK, neighbours: int = NEIGHBOURS) -> None:
         self.looks, self.neighbours = Looks(dims), neighbours
         self.y = np.array(labels, np.float32)
-        blocks = [self.looks.counts(texts[lo:hi]).astype(np.float32) for lo, hi in spans_of([len(t) + 2000 for t in texts], 1_000_000)]
-        counts = np.concatenate(blocks) if blocks else np.zeros((0, dims), np.float32)
-        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
+        counts = np.zeros((len(texts), dims), np.float32)  # sample_rows x dims floats, the largest thing on the driver; weighted in place
+        for lo, hi in spans_of([len(t) + 2000 for t in texts], 400_000):
+            counts[lo:hi] = self.looks.counts(texts[lo:hi])
+        self.idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 0.2).astype(np.float32)
         self.basis = np.zeros((dims, 1), np.float32)
         x = self._weighted(counts)
         if len(x):
@@ -112,8 +113,10 @@ class Model:
         self.vectors = self._latent(x)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.sqrt(counts, dtype=np.float32) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        """Changes float32 counts in place."""
+        x = np.sqrt(counts, dtype=np.float32, out=counts if counts.dtype == np.float32 else None)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
         return x
 
     def _latent(self, x: np.ndarray) -> np.ndarray:
