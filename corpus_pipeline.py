@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import op03_bpe, op04_quality, op06_pii, op08_simhash, op10_decontam
-from tablewright.llm.common import stage, table, without
+from tablewright.llm.common import stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the group's smallest doc_id stays; a row without an id stays."""
-    classes = op08_simhash.near_duplicates(docs)
-    return without(docs, "doc_id", classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    """Of each group of near copies exactly one row stays: the one with the group's smallest doc_id, whether ids are null or repeat."""
+    return op08_simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,8 +62,14 @@ def share(spark: SparkSession, thing):
 MOST_IDS = 1_000_000
 
 
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df staged with a key for each row, and the key's column: ids may be null or repeat, so decisions about rows go by this key."""
+    (key,) = fresh(df, "row_key")
+    return stage(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def without(df: DataFrame, id_col: str, ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
-    """df without the rows whose id is in `ids` (one column of longs). Up to `most` ids (counted) are broadcast, so that texts needn't move; beyond that the join shuffles. A row with a null id stays."""
+    """df without the rows whose key (see `keyed`) is in `ids` (one column of longs). Up to `most` keys (counted) are broadcast, so that texts needn't move; beyond that the join shuffles."""
     (name,) = fresh(df, "gone_id")
     gone = stage(ids.toDF(name).where(F.col(name).isNotNull()).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= most else gone

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, stage
+from .common import byte_texts, keyed, stage, without
 
 SEED = 42
 LEAF = 32
@@ -242,6 +242,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """docs with exactly one row of each near-duplicate group.
+
+    It is the row with the smallest doc_id (a null comes last); among those, the
+    smallest hash of the text and then of the whole row, so that the choice
+    doesn't depend on partitions.
+    """
+    rows, key = keyed(docs, "simhash-rows")
+    groups = near_duplicates(rows, key, text_col, radius).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    hashed = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    order = rows.select(F.col(key).alias("own"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.xxhash64(*hashed).alias("rh"))
+    members = stage(groups.join(order, F.col("row") == F.col("own")).select("group", F.struct(F.col("id").isNull().alias("none"), "id", "th", "rh", "row").alias("m")), "simhash-members")
+    kept = members.groupBy("group").agg(F.min("m").alias("m")).select("m.row")
+    gone = members.select("m.row").join(kept, "row", "left_anti")
+    return without(rows, key, gone).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, gram_hashes, mixed, share, spans_of, without
+from .common import WordHasher, gram_hashes, keyed, mixed, share, spans_of, without
 
 SHINGLE = 5
 RADIUS = 15
@@ -198,9 +198,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return block(held)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows in which a benchmark item was found. A row without an id can't be named, so it is kept."""
-    return without(docs, id_col, contaminated(docs, benchmark, id_col, **options).select("doc_id"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the rows in which a benchmark item was found; each row is judged by its own text, whatever its id."""
+    rows, key = keyed(docs, "decontam-rows")
+    return without(rows, key, contaminated(rows, benchmark, key, **options).select("doc_id")).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

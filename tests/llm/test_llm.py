@@ -543,3 +543,19 @@ def test_pipeline(spark):
     last = p.STAGES[-1][1](spark, before, sf)
     assert last.count() == before.count() and p.run(spark, sf).count() == before.count()
     assert [n for n, _ in p.STAGES] == ["quality", "dedup", "decontamination", "pii", "bpe"]
+
+
+def test_rows_go_by_their_own_text(spark):
+    import corpus_pipeline as p
+
+    leak, copy, clean, other = "the secret benchmark passage is right here in full", "one two three four five six seven", "nothing of note stands in this row at all", "quite another matter was told by the fire that night"
+    rows = [(None, leak), (None, clean), (5, leak), (5, clean), (6, copy), (6, copy), (None, copy), (None, copy), (6, other), (None, other), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row_key long").repartition(3)
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = decon.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(r.row_key for r in left.collect()) == [k for k, (_, t) in enumerate(rows) if t != leak]
+    kept = p.dedup(spark, docs, None).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, leak), (5, clean), (6, copy), (6, other), (8, "")])
+    again = p.dedup(spark, docs.repartition(7), None).collect()
+    assert sorted(r.row_key for r in again) == sorted(r.row_key for r in kept)
