@@ -8,8 +8,10 @@ two fingerprints differ in at most `radius` bits. `radius + 1` blocks of bits
 are looked up in a multi-index over the items: two fingerprints within the
 radius must agree in one of the blocks, so none is missed. Candidates are
 verified exactly: weighted Jaccard similarity of the two multisets of shingles,
-a shingle's weight falling with the number of items that share it, at least
-`threshold`.
+a shingle's weight falling with the number of items of the whole benchmark that
+share it, at least `threshold`. Those numbers are counted first, by an aggregation;
+only shingles of two items or more are sent to all blocks (12 bytes each), as one
+of a single item weighs as much as one of none.
 
 Two savings that lose nothing: a window whose similarity isn't zero shares a
 shingle with the item, so only windows over such a shared shingle are
@@ -18,8 +20,9 @@ without adding its words again.
 
 Each document is judged on its own whole text, so no key can be hot. The
 benchmark is sent to the executors in blocks of at most `block_items` items and
-`block_chars` characters, one pass over the documents for each block; that is
-the proven bound of what is broadcast.
+`block_chars` characters, one pass over the documents for each block; that and
+the shared shingles' counts are the bound of what is broadcast. Blocks don't
+change a result.
 
 Nulls and odd input: null or empty texts match nothing; a null item text is
 left out; items with equal texts are each reported; a null doc_id is
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, gram_hashes, keyed, mixed, share, spans_of, without
+from .common import WordHasher, gram_hashes, keyed, mixed, share, spans_of, stage, without
 
 SHINGLE = 5
 RADIUS = 15
@@ -63,10 +66,12 @@ def word_simhash(h: np.ndarray) -> np.uint64:
 class Items:
     """The benchmark's shingles, fingerprints and multi-index."""
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], radius: int, hasher: WordHasher | None = None, shared: tuple | None = None) -> None:
+        """`shared`: what `shared_shingles` gives for the whole benchmark; without it these rows are the benchmark."""
         self.radius = radius
+        self.hasher = hasher = hasher or WordHasher()
         self.ids, self.lengths, self.fps, self.bags, self.total = [], [], [], [], []
-        hasher, by_gram, df = WordHasher(), defaultdict(set), Counter()
+        by_gram, df = defaultdict(set), Counter()
         for item_id, text in rows:
             h = hasher.words([text])[0]
             if not len(h):
@@ -81,8 +86,10 @@ class Items:
             df.update(bag.keys())
             for g in bag:
                 by_gram[size, g].add(k)
-        self.most = float(np.log(1 + len(self.ids)) + 1)
-        self.weight = {g: float(np.log((1 + len(self.ids)) / n)) + 1 for g, n in df.items()}
+        if shared is None:
+            often = sorted((g, n) for g, n in df.items() if n > 1)
+            shared = len(self.ids), np.array([g for g, _ in often], np.uint64), np.array([n for _, n in often], np.int32)
+        self.n_items, self.often, self.often_n = shared
         self.sizes = sorted({s for s, _ in by_gram})
         self.grams, self.sieves, self.owners = {}, {}, {}
         for s in self.sizes:
@@ -113,12 +120,20 @@ class Items:
                 out.append((i, k, bits))
         return out
 
+    def weights(self, grams: np.ndarray) -> np.ndarray:
+        """Falling with the number of the benchmark's items that hold the shingle; one that none holds weighs as much as one of a single item."""
+        n = np.ones(len(grams))
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, grams), len(self.often) - 1)
+            n = np.where(self.often[at] == grams, self.often_n[at], n)
+        return np.log((1 + self.n_items) / n) + 1
+
     def similarity(self, k: int, grams: list[int]) -> float:
         """Weighted Jaccard similarity of an item's shingles and a window's, both with repeats."""
         bag, own = Counter(grams), self.bags[k]
         both = either = 0.0
-        for g in bag.keys() | own.keys():
-            w = self.weight.get(g, self.most)
+        every = sorted(bag.keys() | own.keys())
+        for g, w in zip(every, self.weights(np.array(every, np.uint64)).tolist()):
             both += w * min(bag[g], own[g])
             either += w * max(bag[g], own[g])
         return both / either
@@ -154,7 +169,8 @@ class Items:
 
 def _scan(items_bc, threshold):
     def run(batches):
-        items, hasher = items_bc(), WordHasher()
+        items = items_bc()
+        hasher = items.hasher
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             out = []
@@ -178,19 +194,45 @@ def _scan(items_bc, threshold):
     return run
 
 
+def _grams(hasher_bc):
+    def run(batches):
+        hasher = hasher_bc()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h = hasher.words([t])[0]
+                if len(h):
+                    own = np.unique(gram_hashes(h, min(SHINGLE, len(h)))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *own.tolist()], pa.int64())], names=["gram"])
+
+    return run
+
+
+def shared_shingles(bench: DataFrame, hasher: WordHasher) -> tuple[int, np.ndarray, np.ndarray]:
+    """(items that have a word, hashes of the shingles of two items or more in order, the number of their items) over the whole benchmark."""
+    grams = bench.select("text").mapInArrow(_grams(share(bench.sparkSession, hasher)), "gram long")
+    counts = stage(grams.groupBy("gram").agg(F.count("*").alias("n")), "decontam-shingles")  # a null stands for an item
+    n = counts.where("gram is null").first()
+    often = counts.where("gram is not null and n > 1").toArrow()
+    g, k = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    at = np.argsort(g)
+    return n.n if n else 0, g[at], k[at].astype(np.int32)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, bits, similarity): for each document and item the most similar window, where it reaches the threshold."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found, held, chars = None, [], 0
+    hasher = WordHasher()
 
     def block(held):
-        bc = share(spark, Items(held, radius))
+        bc = share(spark, Items(held, radius, hasher, shared))
         out = rows.mapInArrow(_scan(bc, threshold), SCHEMA)
         return out if found is None else found.union(out)
 
-    bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text")
-    for r in bench.toLocalIterator():  # one partition at a time; never the whole benchmark where it is large
+    bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    shared = shared_shingles(bench, hasher)
+    for r in bench.orderBy("item_id", "text").toLocalIterator():  # one partition at a time; never the whole benchmark where it is large
         if held and (len(held) >= block_items or chars + len(r.text) > block_chars):
             found, held, chars = block(held), [], 0
         held.append((r.item_id, r.text))

@@ -559,3 +559,17 @@ def test_rows_go_by_their_own_text(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, leak), (5, clean), (6, copy), (6, other), (8, "")])
     again = p.dedup(spark, docs.repartition(7), None).collect()
     assert sorted(r.row_key for r in again) == sorted(r.row_key for r in kept)
+
+
+def test_leaks_blocks_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    word = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 5000, k))
+    common = word(12)
+    items = [(k, f"{common} {word(10)}" if k < 20 else word(18)) for k in range(30)]
+    cut = [(k, " ".join([*t.split()[:-n], *(["other"] * n)])) for k, t in items for n in (1, 2, 3)]
+    rows = [(i, f"start {t} stop") for i, (_, t) in enumerate(cut)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    for blocks in ({}, {"block_items": 7}, {"block_items": 1}):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decon.contaminated(d, b, **blocks).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
