@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A word is a lower-cased run of letters and digits; a shingle is five words (all
-of them in an item that has fewer). For each benchmark item of L words, the
+A word is a lower-cased run of letters and digits of any script; a letter of a
+script that is written without spaces (ideographs, kana, Thai and its like) is a
+word of its own. A shingle is five words (all of them in an item that has fewer). For each benchmark item of L words, the
 windows are the runs of L words of a document. A window's fingerprint is the
 64-bit SimHash of its words; a window is a candidate of an item where the
 two fingerprints differ in at most `radius` bits. `radius + 1` blocks of bits
@@ -36,10 +37,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, gram_hashes, keyed, mixed, share, spans_of, stage, without
+from .common import SEED_A, WordHasher, gram_hashes, keyed, mixed, share, spans_of, stage, without
 
 SHINGLE = 5
 RADIUS = 15
@@ -49,6 +51,49 @@ BLOCK_CHARS = 32_000_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, bits int, similarity double"
 
 
+#: Scripts written without spaces between words.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+
+
+def word_classes() -> np.ndarray:
+    """For every code point: 0 outside of words, 1 a letter or digit, 2 a letter that is a word of its own."""
+    out = np.zeros(0x110000, np.uint8)
+    codes = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    text = "".join(map(chr, codes.tolist()))
+    for kind, pattern in ((1, r"[\p{L}\p{N}]+"), (2, rf"(?:(?=\p{{L}}|\p{{N}}){UNSPACED})+")):
+        for m in regex.finditer(pattern, text):
+            out[codes[m.start() : m.end()]] = kind
+    return out
+
+
+class CodePointHasher(WordHasher):
+    """Hashes of words as this module cuts them, over code points instead of bytes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.lut = word_classes()
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each word, number of its text, its start, its end); offsets in the lower-cased, joined code points."""
+        parts = [t.lower() for t in texts]
+        data = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(data)
+        self._grow(n + 1)
+        kind = self.lut[data]
+        edge = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        start = np.flatnonzero(np.concatenate(([True], edge)) & (kind > 0))
+        end = np.flatnonzero(edge & (kind[:-1] > 0)) + 1  # the last code point is a separator
+        run = np.empty(n + 1, np.uint64)
+        run[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=run[1:])
+        h = (run[end] - run[start]) * self.inverses[start]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(SEED_A)
+        h ^= h >> np.uint64(32)
+        at = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right")
+        return h, at, start, end
+
+
 def _planes(h: np.ndarray) -> np.ndarray:
     """64 columns of -1 and 1 for each word hash."""
     bits = np.unpackbits(np.ascontiguousarray(mixed(h)).view(np.uint8).reshape(-1, 8), axis=1)
@@ -66,10 +111,10 @@ def word_simhash(h: np.ndarray) -> np.uint64:
 class Items:
     """The benchmark's shingles, fingerprints and multi-index."""
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int, hasher: WordHasher | None = None, shared: tuple | None = None) -> None:
+    def __init__(self, rows: list[tuple[int, str]], radius: int, hasher: CodePointHasher | None = None, shared: tuple | None = None) -> None:
         """`shared`: what `shared_shingles` gives for the whole benchmark; without it these rows are the benchmark."""
         self.radius = radius
-        self.hasher = hasher = hasher or WordHasher()
+        self.hasher = hasher = hasher or CodePointHasher()
         self.ids, self.lengths, self.fps, self.bags, self.total = [], [], [], [], []
         by_gram, df = defaultdict(set), Counter()
         for item_id, text in rows:
@@ -207,7 +252,7 @@ def _grams(hasher_bc):
     return run
 
 
-def shared_shingles(bench: DataFrame, hasher: WordHasher) -> tuple[int, np.ndarray, np.ndarray]:
+def shared_shingles(bench: DataFrame, hasher: CodePointHasher) -> tuple[int, np.ndarray, np.ndarray]:
     """(items that have a word, hashes of the shingles of two items or more in order, the number of their items) over the whole benchmark."""
     grams = bench.select("text").mapInArrow(_grams(share(bench.sparkSession, hasher)), "gram long")
     counts = stage(grams.groupBy("gram").agg(F.count("*").alias("n")), "decontam-shingles")  # a null stands for an item
@@ -223,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found, held, chars = None, [], 0
-    hasher = WordHasher()
+    hasher = CodePointHasher()
 
     def block(held):
         bc = share(spark, Items(held, radius, hasher, shared))

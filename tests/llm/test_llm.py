@@ -573,3 +573,36 @@ def test_leaks_blocks_change_nothing(spark):
     for blocks in ({}, {"block_items": 7}, {"block_items": 1}):
         got = {(r.doc_id, r.item_id): r.similarity for r in decon.contaminated(d, b, **blocks).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def plain_words(text):
+    """Words by str methods: letters and digits run on; ideographs and kana stand alone."""
+    import unicodedata
+
+    out, run = [], ""
+    for c in text.lower() + " ":
+        alone = unicodedata.name(c, "").startswith(("CJK UNIFIED", "HIRAGANA LETTER", "KATAKANA LETTER"))
+        if unicodedata.category(c)[0] in "LN" and not alone:
+            run += c
+            continue
+        out += [run] * bool(run) + [c] * alone
+        run = ""
+    return out
+
+
+def test_leaks_in_any_script(spark):
+    text = "the quick brown fox jumps over one lazy dog"
+    chinese, japanese = "今天天气很好我们去公园散步", "これはとても秘密の問題です"
+    said = ["“" + text + "”", text.replace(" ", "\u00a0"), text.replace(" ", "\u3000"), "—".join(text.split()), f"前文{chinese}後文", f"x「{japanese}」です", "Ünïcode ÉTÉ x", "été", "天"]
+    items = [(1, text), (2, chinese), (3, japanese)]
+    rows = list(enumerate(said))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decon.contaminated(d, b).collect()}
+    assert got == {(0, 1): 1.0, (1, 1): 1.0, (2, 1): 1.0, (3, 1): 1.0, (4, 2): 1.0, (5, 3): 1.0}
+    texts = [*said, *(t or "" for _, t in ODD), "a\u00a0b。c", "１２ Ⅷ x²"]
+    hasher = decon.CodePointHasher()
+    h, at, _, _ = hasher.words(texts)
+    want = [plain_words(t) for t in texts]
+    assert np.bincount(at, minlength=len(texts)).tolist() == [len(w) for w in want]
+    names = [w for ws in want for w in ws]
+    assert len(set(zip(names, h.tolist()))) == len(set(names)) == len(set(h.tolist()))
