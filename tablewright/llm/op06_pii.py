@@ -4,24 +4,27 @@ Detection: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers
 by regular expressions, leftmost and non-overlapping; matches that fail a kind's
 test are dropped. Spans come from the lengths of the pieces between matches.
 
-Disclosure: each different value found is a protected entity. The words within
-`WINDOW` characters of its mentions are candidate terms. Over all documents, with
-N their number, df(t) and df(e) those that hold the term and the entity and c(e,t)
-those that hold the term near the entity,
+Disclosure: each different value found is a protected entity. The words of the
+documents that hold it, mentions left out, are candidate terms. Over all documents,
+with N their number, df(t) and df(e) those that hold the term and the entity and
+c(e,t) those that hold both,
 
     PMI(e, t) = log2(c(e,t) N / (df(e) df(t)))        bits that t tells about e
     IC(e)     = log2(N / df(e))                       bits that name e
 
-A term with c(e,t) >= `support` and PMI >= `share` * IC(e) gives its entity away.
-Near that entity it is removed if it occurs nowhere else (PMI = IC(e) or more),
-and is generalised otherwise: a number to [NUMBER], a word to [TERM]. It stays
-elsewhere. Mentions themselves are replaced by their kind.
+A term gives its entity away with PMI >= `share` * IC(e) and c(e,t) >= `support`, or
+c(e,t) = df(e) where the entity is in fewer documents than that. Wherever it stands in
+a document that holds the entity, it is removed if it occurs nowhere else (PMI =
+IC(e) or more), and is generalised otherwise: a number to [NUMBER], a word to [TERM].
+It stays in other documents. Mentions themselves are replaced by their kind.
 
-Plan: one scan of the texts detects and keeps only mentions and windows, staged;
-pairs are aggregated with map-side counts; one more scan counts df(t), for the
-terms that have enough support, by a join with that set (broadcast only after its
-rows were counted, else shuffled and so splittable). An entity or a term that
-a third of all rows share is one pre-aggregated row per task. Texts are not shuffled by the query.
+Plan: one scan of the texts detects and stages the mentions, and the texts that have
+any with their mentions blanked; pairs are exploded row by row and aggregated with
+map-side counts; one more scan counts df(t), for the terms that have enough support: a
+join with that set, broadcast only after its rows were counted, else after the count
+of all terms, so that no word of a text is shuffled by itself. An entity or a term that
+a third of all rows share is one pre-aggregated row per task. Only texts with mentions
+are staged; the query moves none but those that have terms to replace.
 
 Nulls and odd input: a null text is an empty one; ids may be null or repeat: spans
 are matched back by id and a hash of the text, null ids included; an
@@ -36,7 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stage
 
-WINDOW = 60
 SUPPORT = 3
 SHARE = 0.9
 MOST_BROADCAST = 100_000
@@ -51,21 +53,40 @@ KINDS = [
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
 _WORD = r"[\p{L}\p{N}]++"
+#: What stands for each code point of a mention in a blanked text, and the whole words that touch no mention there.
+_BLANK = "\ufdd0"
+_OUTSIDE = rf"(?<![\p{{L}}\p{{N}}{_BLANK}])[\p{{L}}\p{{N}}]++(?!{_BLANK})"
+_CHUNK = 128
+_SLOTS = 64
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once; lambdas would compute it for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sums(sizes: Column) -> Column:
+    """Running totals of an array<int>: in chunks, as each step copies what it has."""
+
+    def small(part):
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x)).alias("all"))
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step)
+
+    def of(a):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _CHUNK).cast("int")), lambda k: small(F.slice(a, k * _CHUNK + 1, _CHUNK)))
+        step = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["all"], F.array(F.transform(c["all"], lambda v: v + acc["at"]))).alias("all"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+        return F.flatten(F.aggregate(chunks, start, step, lambda acc: acc["all"]))
+
+    return _let(sizes, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast("array<int>")))
 
 
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of all matches, offsets in code points."""
     said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(said, F.length)
-    # the sum of what lies before, carried along match by match
-    starts = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(said)).alias("g"), sizes.alias("n")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x["g"])).alias("all")),
-        lambda acc: acc["all"],
-    )
-    return F.transform(F.arrays_zip(starts.alias("s"), said.alias("m")), lambda z: F.struct(z["s"].alias("s"), (z["s"] + F.length(z["m"])).alias("e"), z["m"].alias("m")))
+    ends = _let(said, lambda m: _sums(F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: g + F.length(x))))
+    return F.zip_with(ends, said, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
 
 
 def _digits(m: Column) -> Column:
@@ -113,49 +134,71 @@ def _entity(kind: Column, m: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), F.when(kind == 0, F.lower(m)).when(kind == 1, m).otherwise(_digits(m)))
 
 
-def _near(text: Column, found: Column) -> Column:
-    """array<struct<entity, term, s, e>>: the whole words within WINDOW characters of each mention, other mentions left out."""
+def _entities(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda x: _entity(x["kind"], x["m"])))
+
+
+def _blanked(text: Column, found: Column) -> Column:
+    """text, as long as before, with every code point of a mention blanked."""
 
-    def of(x):
-        low = F.greatest(x["s"] - WINDOW, F.lit(0))
-        before, after = F.substring(text, low + 1, x["s"] - low), F.substring(text, x["e"] + 1, F.lit(WINDOW))
-        left = F.filter(_spans(before, _WORD), lambda w: (w["s"] > 0) | (low == 0))
-        right = F.filter(_spans(after, _WORD), lambda w: (w["e"] < WINDOW) | (F.length(text) == x["e"] + WINDOW))
-        moved = lambda part, by: F.transform(part, lambda w: F.struct(_entity(x["kind"], x["m"]).alias("entity"), F.lower(w["m"]).alias("term"), (w["s"] + by).alias("s"), (w["e"] + by).alias("e")))
-        return F.concat(moved(left, low), moved(right, x["e"]))
+    def step(acc, x):
+        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.repeat(F.lit(_BLANK), x["e"] - F.greatest(x["s"], acc["at"])))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["e"] > acc["at"], cut).otherwise(acc["out"]).alias("out"))
+
+    spans = F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _terms(blanked: Column) -> Column:
+    """array<string> of the different words outside mentions."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(blanked, F.lit(_OUTSIDE), F.lit(0)), F.lower))
+    return F.filter(words, lambda t: F.length(t) > 2)
 
-    words = F.flatten(F.transform(found, of))
-    return F.filter(words, lambda w: (F.length(w["term"]) > 2) & ~F.exists(found, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+
+def _places(blanked: Column, told: Column) -> Column:
+    """array<struct<s, e, removed>>: wherever a told term (struct<term, removed>) stands; terms are looked up by a hash, as a text may have many."""
+    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(_SLOTS)).cast("int")
+    slots = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda k: F.filter(told, lambda x: slot(x["term"]) == k))
+
+    def of(table):
+        removed = lambda t: F.get(F.filter(F.get(table, slot(t)), lambda x: x["term"] == t), 0)["removed"]
+        return F.transform(_spans(blanked, _OUTSIDE), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), removed(F.lower(w["m"])).alias("removed")))
+
+    return F.filter(_let(slots, of), lambda x: x["removed"].isNotNull())
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged: doc_id, th (hash of the text), found (base mentions) and near (terms by them), for every row."""
+    """Staged, for every row: doc_id, th (hash of the text), found (base mentions); and of texts with mentions, blanked and terms (its words)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", mentions(F.col("text")).alias("found"))
-    near = F.when(F.size("found") > 0, _near(F.col("text"), F.col("found")))
-    return stage(rows.select("doc_id", F.xxhash64("text").alias("th"), "found", near.alias("near")), "pii-found")
+    blanked = F.when(F.size("found") > 0, _blanked(F.translate("text", _BLANK, " "), F.col("found")))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "found", blanked.alias("blanked"))
+    return stage(rows.select("*", _terms(F.col("blanked")).alias("terms")), "pii-found")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(entity, term, removed): the terms that give an entity away."""
     held = found.where(F.size("found") > 0)
     n = found.agg(F.count("*").alias("n"))
-    ents = held.select(F.explode(F.array_distinct(F.transform("found", lambda x: _entity(x["kind"], x["m"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    pairs = held.select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p"))
-    both = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("c")).where(F.col("c") >= support)
-    # a term is in at least as many documents as it is near some entity in: pairs that this bound rules out already needn't be counted in all texts
-    seen = held.select(F.explode(F.array_distinct(F.transform("near", lambda w: w["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    ents = stage(held.select(F.explode(_entities(F.col("found"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e")), "pii-entities")
+    ents = F.broadcast(ents) if ents.count() <= most_broadcast else ents
+    pairs = held.select(F.explode(_entities(F.col("found"))).alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).join(ents, "entity").where(F.col("c") >= F.least(F.lit(support), F.col("df_e")))
+    # a term is in at least as many documents as hold it beside some entity: pairs that this bound rules out already needn't be counted in all texts
+    seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     ic = F.log2(F.col("n") / F.col("df_e"))
     pmi = lambda df_t: F.log2(F.col("c") * F.col("n") / (F.col("df_e") * F.col(df_t)))
-    both = both.join(ents, "entity").join(seen, "term").crossJoin(F.broadcast(n))  # n is one row
+    both = both.join(seen, "term").crossJoin(F.broadcast(n))  # n is one row
     both = stage(both.where((ic > 0) & (pmi("least") >= share * ic)), "pii-pairs")
     wanted = stage(both.select("term").distinct(), "pii-terms")
     n_terms = wanted.count()
     if not n_terms:
         return both.select("entity", "term", F.lit(False).alias("removed")).limit(0)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(_WORD), F.lit(0)))).alias("term"))
-    counted = words.join(F.broadcast(wanted) if n_terms <= most_broadcast else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_WORD), F.lit(0)), F.lower))).alias("term"))
+    if n_terms <= most_broadcast:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    counted = words.groupBy("term").agg(F.count("*").alias("df_t"))
     told = both.join(counted, "term")
     return told.where(pmi("df_t") >= share * ic).select("entity", "term", (pmi("df_t") >= ic).alias("removed"))
 
@@ -163,13 +206,14 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", suppor
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, th, found, terms (array<struct<s, e, removed>> or null) for every row of docs."""
     found = detect(docs, id_col, text_col)
-    tells = disclosing(found, docs, text_col, **options)
-    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("w")).select("doc_id", "th", "w.*")
-    hits = near.join(tells, ["entity", "term"])
-    # equal rows have equal spans: a set of spans per (id, text)
-    spans = hits.groupBy("doc_id", "th", "s", "e").agg(F.max("removed").alias("removed")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e", "removed"))).alias("terms"))
-    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th"), "terms")
-    return found.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("th") == F.col("span_th")), "left").select("doc_id", "th", "found", "terms")
+    tells = stage(disclosing(found, docs, text_col, **options), "pii-tells")
+    held = found.where(F.size("found") > 0)
+    own = held.select("doc_id", "th", "terms", F.explode(_entities(F.col("found"))).alias("entity")).select("doc_id", "th", "entity", F.explode("terms").alias("term"))
+    # equal rows have equal terms: one list per (id, text)
+    told = own.join(tells, ["entity", "term"]).groupBy("doc_id", "th", "term").agg(F.max("removed").alias("removed"))
+    told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("th").alias("told_th")).agg(F.collect_list(F.struct("term", "removed")).alias("told"))
+    met = found.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("th") == F.col("told_th")), "left")
+    return met.select("doc_id", "th", "found", F.when(F.col("told").isNotNull(), _places(F.col("blanked"), F.col("told"))).alias("terms"))
 
 
 def _joined(kinds_and_spans: Column) -> Column:

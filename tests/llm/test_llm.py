@@ -606,3 +606,43 @@ def test_leaks_in_any_script(spark):
     assert np.bincount(at, minlength=len(texts)).tolist() == [len(w) for w in want]
     names = [w for ws in want for w in ws]
     assert len(set(zip(names, h.tolist()))) == len(set(names)) == len(set(h.tolist()))
+
+
+def brute_terms(texts):
+    """Term spans of each text by the rule itself: all words of a document, wherever they stand."""
+    marks = [[tuple(map(int, x.split(":")[1:])) for x in brute_pii(t)] for t in texts]
+    values = [{(k, t[int(a) : int(b)]) for k, a, b in (x.split(":") for x in brute_pii(t))} for t in texts]
+    every = [{w.lower() for w in re.findall(r"[^\W_]+", t)} for t in texts]
+    places = [[m for m in re.finditer(r"[^\W_]+", t) if not any(s < m.end() and m.start() < e for s, e in ms)] for t, ms in zip(texts, marks)]
+    own = [{m[0].lower() for m in p if len(m[0]) > 2} for p in places]
+    n, out = len(texts), []
+    for i in range(n):
+        told = set()
+        for e in values[i]:
+            holds = [j for j in range(n) if e in values[j]]
+            for t in own[i]:
+                c, df = sum(t in own[j] for j in holds), sum(t in x for x in every)
+                ic, pmi = np.log2(n / len(holds)), np.log2(c * n / (len(holds) * df))
+                if c >= min(pii.SUPPORT, len(holds)) and ic > 0 and pmi >= pii.SHARE * ic - 1e-12:
+                    told.add(t)
+        out.append([f"term:{m.start()}:{m.end()}" for m in places[i] if m[0].lower() in told])
+    return out
+
+
+def test_pii_terms_of_the_whole_document(spark):
+    gap = "the day was fine and all that was said was said again " * 40
+    told = [f"Quasimodo came. {gap}jo@x.org wrote {gap}to Éponine of Wexley; {gap}Quasimodo and WEXLEY went" for _ in range(4)]
+    once = [f"Zebulon. {gap}call +1 555 123 4567 today", f"pair Ishmael {gap}10.1.2.3", f"{gap}10.1.2.3 Ishmael pair"]
+    texts = told + once + ["Quasimodo was a book"] + [f"{gap} and number {i} was said to call today" for i in range(40)]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_terms(texts)
+    for options in ({}, {"most_broadcast": 0}):
+        got = by_id(pii.digest(pii.find(docs, **options)))
+        for i, t in enumerate(texts):
+            spans = got[None if i == 3 else i].spans.split(",")
+            assert [x for x in spans if x.startswith("term")] == want[i], t[:40]
+    assert all(want[i] for i in range(7)) and not want[7]
+    rows = by_id(pii.sanitise(docs))
+    for i in (0, 1, 2, None, 4, 5, 6):
+        assert not re.search("quasimodo|wexley|éponine|zebulon|ishmael", rows[i].text.lower()) and gap.strip() in rows[i].text
+    assert rows[7].text == texts[7]
