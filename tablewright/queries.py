@@ -107,6 +107,18 @@ def _(spark, sf_dir):
     return out
 
 
+@query("fk_orphans_whole", " UNION ALL ".join(f"SELECT '{c}' AS child, '{o}' AS column_name, count(*) AS orphans FROM (SELECT CASE WHEN {o} % 11 = 0 THEN -1 - {o} ELSE {o} END AS k FROM {c}) WHERE k IS NOT NULL AND k NOT IN (SELECT {r} FROM {p})" for c, o, p, r in _EDGES))
+def _(spark, sf_dir):
+    """All child rows against all parents; a derived key makes the orphans."""
+    out = None
+    for c, o, p, r in _EDGES:
+        fk = ForeignKeyMeta("fk", [o], p, [r])
+        child = _t(spark, sf_dir, c).withColumn(o, F.when(F.col(o) % 11 == 0, -1 - F.col(o)).otherwise(F.col(o)))
+        one = constraints.orphans(child, fk, _t(spark, sf_dir, p)).agg(F.count("*").alias("orphans")).select(F.lit(c).alias("child"), F.lit(o).alias("column_name"), "orphans")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("unique_violations", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf_dir):
     return constraints.duplicates(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -408,6 +420,17 @@ def _(spark, sf_dir):
     return subset(FrameSource({"public.emp": emp}), SchemaMeta([t]), "emp WHERE id = 5", None)["public.emp"]
 
 
+_EMP_WHOLE = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS boss FROM part"
+
+
+@query("subset_self_reference_whole", f"WITH RECURSIVE emp AS ({_EMP_WHOLE}), down AS (SELECT id, boss FROM emp WHERE id = 5 UNION SELECT e.id, e.boss FROM emp e JOIN down d ON e.boss = d.id), up AS (SELECT id, boss FROM down UNION SELECT e.id, e.boss FROM emp e JOIN up u ON u.boss = e.id) SELECT id, boss FROM up")
+def _(spark, sf_dir):
+    """The tree of all parts."""
+    emp = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).cast("long").alias("boss"))
+    t = TableMeta("emp", columns=[ColumnMeta("id", "int8", False), ColumnMeta("boss", "int8")], primary_key=["id"], foreign_keys=[ForeignKeyMeta("emp_boss_fkey", ["boss"], "public.emp", ["id"])])
+    return subset(FrameSource({"public.emp": emp}), SchemaMeta([t]), "emp WHERE id = 5", None)["public.emp"]
+
+
 # ----------------------------------------------------- clone, snapshot, restore
 @query("clone_masked_customer", _sql_customer())
 def _(spark, sf_dir):
@@ -569,6 +592,26 @@ def _(spark, sf_dir):
     return _given(spark, sf_dir, t, _tuples(spark, sf_dir))
 
 
+_TUPLES_WHOLE = "SELECT p_partkey % 40 AS a, p_partkey // 40 AS b FROM part"
+_PARTS = "(SELECT count(*) FROM part)"
+
+
+def _tuples_whole(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("a"), F.floor(F.col("p_partkey") / 40).alias("b"))
+
+
+@query("gen_fk_composite_whole", f"SELECT range + 1 AS id, a, b FROM (SELECT range, {_at('child', 'fk', _PARTS)} AS spot FROM range({N})) JOIN (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS idx FROM ({_TUPLES_WHOLE})) ON spot = idx")
+def _(spark, sf_dir):
+    t = _table("child", [_serial(), ColumnMeta("a", "int8", False), ColumnMeta("b", "int8", False)], ["id"], [ForeignKeyMeta("fk", ["a", "b"], "public.pair", ["a", "b"])])
+    return _given(spark, sf_dir, t, _tuples_whole(spark, sf_dir))
+
+
+@query("gen_fk_pinned_whole", f"WITH pairs AS ({_TUPLES_WHOLE}), one AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS idx FROM pairs), inner_ AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS idx, count(*) OVER (PARTITION BY a) AS n FROM pairs), c AS (SELECT range, a, b FROM (SELECT range, {_at('child', 'fk', _PARTS)} AS spot FROM range({N})) JOIN one ON spot = idx) SELECT c.range + 1 AS id, c.a, c.b, inner_.b AS b2 FROM c JOIN inner_ ON inner_.a = c.a AND inner_.idx = {Sql.pick(_hs('child', 'fk2', 'CAST(c.range AS VARCHAR)'), 'inner_.n')}")
+def _(spark, sf_dir):
+    t = _table("child", [_serial(), *[ColumnMeta(c, "int8", False) for c in ("a", "b", "b2")]], ["id"], [ForeignKeyMeta("fk", ["a", "b"], "public.pair", ["a", "b"]), ForeignKeyMeta("fk2", ["a", "b2"], "public.pair", ["a", "b"])])
+    return _given(spark, sf_dir, t, _tuples_whole(spark, sf_dir))
+
+
 _HIST = [(0, 3), (1, 5), (4, 2)]
 
 
