@@ -35,9 +35,9 @@ PER_LANGUAGE = 8
 
 
 def _letters() -> np.ndarray:
-    """For each code point below 0x3000: itself where it is a letter, else a space; above, ideographs and kana are letters of their own."""
-    out = np.full(0x3000, 32, np.uint32)
-    for c in range(0x3000):
+    """For each code point: itself where it is a letter, else a space."""
+    out = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
         if chr(c).isalpha():
             out[c] = c
     return out
@@ -54,7 +54,7 @@ class Grams:
         parts = [t.lower() for t in texts]
         sizes = np.array([len(p) + 2 for p in parts], np.int64)
         code = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "replace"), np.uint32)
-        code = np.where(code < 0x3000, self.letters[np.minimum(code, 0x2FFF)], code)
+        code = self.letters[code]
         at = np.repeat(np.arange(len(parts)), sizes)
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (at[1:] != at[:-1])

@@ -646,3 +646,8 @@ def test_pii_terms_of_the_whole_document(spark):
     for i in (0, 1, 2, None, 4, 5, 6):
         assert not re.search("quasimodo|wexley|éponine|zebulon|ishmael", rows[i].text.lower()) and gap.strip() in rows[i].text
     assert rows[7].text == texts[7]
+
+
+def test_language_without_letters():
+    counts, letters = lang.Grams().counts(["😀😀", "１２３", "。。、", "中文 か", "𐐀", "a1"])
+    assert letters.tolist() == [0, 0, 0, 3, 1, 1]
