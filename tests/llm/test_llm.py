@@ -651,3 +651,62 @@ def test_pii_terms_of_the_whole_document(spark):
 def test_language_without_letters():
     counts, letters = lang.Grams().counts(["😀😀", "１２３", "。。、", "中文 か", "𐐀", "a1"])
     assert letters.tolist() == [0, 0, 0, 3, 1, 1]
+
+
+# ------------------------------------------------------- 1, lengths and repeats
+def exact_nearest(v, ids, asked, k):
+    """ids of the k best rows for each row number asked, products added up component by component."""
+    out = []
+    for q in asked:
+        s = np.zeros(len(v))
+        for c in range(v.shape[1]):
+            s += v[q, c] * v[:, c]
+        s[ids == ids[q]] = -np.inf
+        out.append(ids[np.lexsort((ids, -s))[:k]].tolist())
+    return out
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1e-6, 1.0, 1e6, 1e12, "one long", "all lengths", "all away"])
+def test_nearest_at_any_length(scale):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(3000, 16))
+    v[500:1400] = v[500]  # equal vectors, and ids that repeat
+    v = v * scale if isinstance(scale, float) else v
+    if scale == "one long":
+        v[77] *= 1e9
+    if scale == "all lengths":
+        v *= 10.0 ** rng.uniform(-9, 9, (3000, 1))
+    if scale == "all away":
+        v = np.abs(v) * np.where(np.arange(3000) % 30 == 0, -1, 1)[:, None]
+    ids = np.sort(rng.integers(0, 2500, 3000))
+    asked = np.arange(0, 3000, 30)
+    shard = vp.Shard(v, ids)
+    want = exact_nearest(v, ids, asked, vp.K)
+    for factor in (1.0, vp.FACTOR):
+        place, score = shard.search(v[asked], vp.K, factor, ids[asked])
+        got = shard.ids[place].tolist()
+        assert np.mean([a == b for a, b in zip(got, want)]) == 1 if factor == 1 else np.mean([len(set(a) & set(b)) / len(set(b)) for a, b in zip(got, want)]) >= 0.99
+        assert (np.diff(score, axis=1) <= 0).all()
+
+
+def test_needed_rows_leave_k_for_every_query():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 2, (400, 2)).astype(float)
+    ids = np.sort(rng.integers(0, 60, 400))
+    some = vp.needed(rows, ids, 5)
+    assert len(some) < 250
+    for q in range(60):
+        for vector in np.unique(rows, axis=0):
+            own = np.flatnonzero((rows == vector).all(axis=1) & (ids != q))[:5]
+            assert set(own.tolist()) <= set(some.tolist())
+
+
+def test_nearest_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 2.0]), (1, [3.0, 2.0]), (2, [5.0, 1.0]), (3, [0.0, 4.0])]
+    df = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>").repartition(4)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vp.nearest(df, df.where("vec_id % 20 = 0"), k=7).orderBy("query_id", "rank").collect()]
+    # one query of id 0, with the smallest of its vectors; every row of another id is a candidate
+    assert got == [(0, i + 1, *x) for i, x in enumerate([(3, 4.0)] * 3 + [(1, 2.0)] * 4)]
+    many = spark.createDataFrame([(5, [1.0, 1.0])] * 900 + [(i, [1.0, float(i)]) for i in range(40, 60)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in vp.nearest(many, many.where("vec_id % 20 = 0"), shard_rows=100).orderBy("query_id", "rank").collect()]
+    assert got == [(40, i) for i in range(59, 40, -1)] + [(40, 5)]
