@@ -3,14 +3,18 @@
 The rules' regular expressions are parsed into one nondeterministic automaton,
 made deterministic by subset construction over byte classes and minimised by
 partition refinement. The result is one transition array; a single pass over the
-bytes of a text runs all rules at once and tells, for each rule, where matches
+bytes of a text runs all rules at once, whole, and tells, for each rule, where matches
 end. The array is stepped for thousands of stretches of text side by side: text
 is cut behind bytes after which the automaton is in its start state whatever came
-before, so no match is ever cut.
-
-Stretches in which a rule accepted are then resolved exactly: the rule's full
-expression gives leftmost, non-overlapping spans there, and matches that fail
-the rule's least length are dropped. Rules beyond the base three (private key
+before, so no match is ever cut. Where few stretches are left, they are longer than
+the others and are stepped one after the other.
+
+In the stretches in which a rule accepted, the rule's own minimal automaton, anchored at each place
+where a match can begin, gives the spans: the leftmost match, as long as it goes, then
+the next one behind it. A rule is a head and a run (its expression is head, then run); a second
+anchored automaton, of the head, tells where the run begins. Matches whose run, or whole, is
+shorter than the rule's least length are dropped. No regular-expression engine
+takes part. Rules beyond the base three (private key
 headers, access tokens with known prefixes) add spans; they take none away.
 
 Each document is scanned on its own, whole: no key, so nothing can be hot. Nulls
@@ -21,7 +25,7 @@ repeat; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +35,15 @@ from pyspark.sql import functions as F
 from .common import byte_texts, share
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
-#: kind, full expression (leftmost spans), group that is measured, its least length, expression of what a surviving match contains (for the automaton; a mere prefix for the added rules, as counters of several rules multiply its states).
 _KEYS = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+#: kind, head, run, is the run measured (else the whole), its least length. Base rules first.
 RULES = [
-    ("assign", rf"{_KEYS}[\"']?\x20*[:=]\x20*[\"']?({_VALUE}+)", 2, 6, rf"{_KEYS}[\"']?\x20*[:=]\x20*[\"']?{_VALUE}{{6}}"),
-    ("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{16}"),
-    ("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
-    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, "-----BEGIN "),
-    ("hub_token", "gh[pousr]_[A-Za-z0-9]+", 0, 40, "gh[pousr]_"),
-    ("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 0, 20, "xox[abprs]-"),
+    ("assign", rf"{_KEYS}[\"']?\x20*[:=]\x20*[\"']?", f"{_VALUE}+", True, 6),
+    ("access", "AKIA", "[A-Z0-9]+", False, 20),
+    ("hex", "", "[0-9a-f]{24,}", False, 24),  # runs of hex digits are whole ones, so the least length can be in the expression
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "", False, 0),
+    ("hub_token", "gh[pousr]_", "[A-Za-z0-9]+", False, 40),
+    ("chat_token", "xox[abprs]-", "[A-Za-z0-9-]+", False, 20),
 ]
 BASE = 3
 
@@ -160,13 +164,13 @@ class Nfa:
 
 
 class Automaton:
-    """Minimal deterministic automaton of many rules, searching from every position.
+    """Minimal deterministic automaton of many rules, searching from every position, or anchored at one.
 
-    classes: 256 byte classes; moves[state * n_classes + class]: next state;
-    accepts[state]: bit r is set where a match of rule r ends; state 0 starts.
+    classes: 256 byte classes; moves[state, class]: next state; accepts[state]: bit r is set where a match of rule r
+    ends; state 0 starts. An anchored automaton has a state that nothing leads out of, `dead` (else -1).
     """
 
-    def __init__(self, expressions: list[str]) -> None:
+    def __init__(self, expressions: list[str], anchored: bool = False) -> None:
         nfa = Nfa()
         root, ends = nfa.state(), {}
         for r, e in enumerate(expressions):
@@ -178,13 +182,14 @@ class Automaton:
         ordered = sorted(sets, key=sorted)
         self.classes = np.array([signature.setdefault(tuple(b in s for s in ordered), len(signature)) for b in range(256)], np.uint8)
         sample = [int(np.flatnonzero(self.classes == c)[0]) for c in range(len(signature))]
+        again = set() if anchored else {root}
         start = nfa.closed([root])
-        number, todo, rows, accept = {start: 0}, [start], [], []
-        while todo:  # subset construction; the start set is part of every set, so a match may begin anywhere
-            now = todo.pop(0)
+        number, todo, rows, accept = {start: 0}, deque([start]), [], []
+        while todo:  # subset construction; unless anchored, the start set is part of every set, so a match may begin anywhere
+            now = todo.popleft()
             row = []
             for b in sample:
-                new = nfa.closed({t for s in now for m, t in nfa.moves[s] if b in m} | {root})
+                new = nfa.closed({t for s in now for m, t in nfa.moves[s] if b in m} | again)
                 if new not in number:
                     number[new] = len(number)
                     todo.append(new)
@@ -210,27 +215,86 @@ class Automaton:
         self.moves = part[moves[first]].astype(np.int32)
         self.accepts = accepts[first].astype(np.uint8)
         self.resets = (self.moves == 0).all(axis=0)[self.classes]  # bytes that lead to the start from everywhere
+        stuck = np.flatnonzero((self.moves == np.arange(self.n_states)[:, None]).all(axis=1) & (self.accepts == 0))
+        self.dead = int(stuck[0]) if anchored and len(stuck) else -1
+        self.steps = (self.moves * self.n_classes).ravel()  # next state, as the start of its row
+        self.table, self.bits = self.steps.tolist(), np.repeat(self.accepts, self.n_classes)
+        self.said = self.bits.tolist()
 
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rules that accept somewhere in data[starts[i]:ends[i]], as bits; all stretches step side by side."""
+        """Rules that accept somewhere in data[starts[i]:ends[i]], as bits; stretches step side by side while there are many."""
         order = np.argsort(starts - ends, kind="stable")  # longest first
         at, sizes = starts[order], (ends - starts)[order]
-        flat = (self.moves * self.n_classes).ravel()  # next state, as the start of its row
-        bits = np.repeat(self.accepts, self.n_classes)
         cls = self.classes[data]
         state = np.zeros(len(at), np.int32)
         seen = np.zeros(len(at), np.uint8)
-        live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")  # stretches longer than i
+        few = int(sizes[_FEW]) if len(sizes) > _FEW else 0  # from here on at most _FEW are left
+        live = np.searchsorted(-sizes, -np.arange(few), side="left")  # stretches longer than i
         for i, n in enumerate(live.tolist()):
             state = state[:n]
             state += cls[at[:n] + i]
-            state = flat.take(state)
-            seen[:n] |= bits.take(state)
+            state = self.steps.take(state)
+            seen[:n] |= self.bits.take(state)
+        table, said = self.table, self.said
+        for k in range(min(_FEW, len(at))):
+            now, bits = int(state[k]), int(seen[k])
+            for c in cls[at[k] + few : at[k] + sizes[k]].tobytes():
+                now = table[now + c]
+                bits |= said[now]
+            seen[k] = bits
         out = np.empty(len(at), np.uint8)
         out[order] = seen
         return out
 
+    def longest(self, cls: bytes, at: int, end: int) -> int:
+        """Anchored: the end of the longest match from `at`, -1 if there is none. cls: the classes of the bytes."""
+        table, said, dead = self.table, self.said, self.dead * self.n_classes
+        now, best = 0, at if self.accepts[0] else -1
+        for p in range(at, end):
+            now = table[now + cls[p]]
+            if now == dead:
+                break
+            if said[now]:
+                best = p + 1
+        return best
+
+    def openings(self, cls: np.ndarray) -> list[int]:
+        """Anchored: the places from which the automaton isn't dead after three steps (or what is left of them)."""
+        padded = np.concatenate((cls, np.zeros(2, cls.dtype)))
+        state = np.zeros(len(cls), np.int32)
+        alive = np.ones(len(cls), bool)
+        for k in range(3):
+            state = self.steps.take(state + padded[k : k + len(cls)])
+            # behind the end nothing is ruled out
+            alive &= (state != self.dead * self.n_classes) | (np.arange(len(cls)) + k >= len(cls))
+        return np.flatnonzero(alive).tolist()
+
+
+class Rule:
+    """One rule's spans in a stretch: leftmost matches, as long as they go, none inside another."""
+
+    def __init__(self, kind: str, head: str, run: str, measured: bool, least: int) -> None:
+        self.least = least
+        self.whole = Automaton([head + run], anchored=True)
+        self.head = Automaton([head], anchored=True) if measured else None
+
+    def spans(self, data: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Byte places in data."""
+        view = data[lo:hi]
+        cls = self.whole.classes[view]
+        text, head = cls.tobytes(), self.head.classes[view].tobytes() if self.head else b""
+        out, at = [], 0
+        for p in self.whole.openings(cls):
+            if p >= at:
+                end = self.whole.longest(text, p, len(text))
+                if end > p:
+                    at = end  # a match that is too short is passed by like any other
+                    if end - (self.head.longest(head, p, end) if self.head else p) >= self.least:
+                        out.append((lo + p, lo + end))
+        return out
+
 
+_FEW = 12
 _STRETCH = 192
 
 
@@ -246,33 +310,27 @@ def _stretches(data: np.ndarray, resets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 class Scanner:
     def __init__(self, rules=RULES) -> None:
-        self.rules = rules
-        self.automaton = Automaton([r[4] for r in rules])
-        self.exact = [re.compile(r[1]) for r in rules]
+        self.rules, self.exact = rules, [Rule(*r) for r in rules]
+        self.automaton = Automaton([head + run for _, head, run, _, _ in rules])
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """For each text, (start, rule, end) in code points, by start and then rule."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        data = b"\n".join(texts) + b"\n"  # a line end resets every rule
-        view = np.frombuffer(data, np.uint8)
+        view = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)  # a line end resets every rule
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         starts, ends = _stretches(view, self.automaton.resets)
         hits = self.automaton.scan(view, starts, ends)
-        for i in np.flatnonzero(hits).tolist():
-            lo, hi = int(starts[i]), int(ends[i])
-            # a stretch can hold the ends of several texts
-            t = int(np.searchsorted(first, lo, side="right")) - 1
-            while lo < hi:
-                stop = min(hi, int(first[t + 1]) - 1)
-                part = data[lo:stop].decode("utf-8", "replace")
-                base = None
-                for r, (_, _, group, least, _) in enumerate(self.rules):
-                    if hits[i] >> r & 1:
-                        for m in self.exact[r].finditer(part):
-                            if m.end(group) - m.start(group) >= least:
-                                base = len(data[first[t] : lo].decode("utf-8", "replace")) if base is None else base
-                                out[t].append((base + m.start(), r, base + m.end()))
-                lo, t = stop + 1, t + 1
+        some = np.flatnonzero(hits)
+        if not len(some):
+            return out
+        points = np.zeros(len(view) + 1, np.int64)  # code points before each byte
+        np.cumsum((view & 0xC0) != 0x80, out=points[1:])
+        for i in some.tolist():
+            for r, rule in enumerate(self.exact):
+                if hits[i] >> r & 1:  # a stretch can hold the ends of several texts, but no match goes beyond a line end
+                    for a, b in rule.spans(view, int(starts[i]), int(ends[i])):
+                        t = int(np.searchsorted(first, a, side="right")) - 1
+                        out[t].append((int(points[a] - points[first[t]]), r, int(points[b] - points[first[t]])))
         for x in out:
             x.sort()
         return out

@@ -710,3 +710,37 @@ def test_nearest_repeated_ids(spark):
     many = spark.createDataFrame([(5, [1.0, 1.0])] * 900 + [(i, [1.0, float(i)]) for i in range(40, 60)], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.vec_id) for r in vp.nearest(many, many.where("vec_id % 20 = 0"), shard_rows=100).orderBy("query_id", "rank").collect()]
     assert got == [(40, i) for i in range(59, 40, -1)] + [(40, 5)]
+
+
+# ------------------------------------------------------ 5, spans by automata
+FULL = [r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "gh[pousr]_[A-Za-z0-9]+", "xox[abprs]-[A-Za-z0-9-]+"]
+
+
+def test_secret_spans_of_any_text(scanner):
+    import random
+
+    rnd = random.Random(11)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "   ", ":", "=", "==", "abcdef", "abc", "é", "中", "AKIA", "ABCDEFGHIJKLMNOP", "AK", "0a1b2c3d", "deadbeefdeadbeefdeadbeef", "\n", ",", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "x" * 40, "xoxb-", "1234567890-1234567890", "_", "."]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
+    least = [0, 40, 20]
+    for t, got in zip(texts, scanner.spans([t.encode() for t in texts])):
+        assert [x for x in got if x[1] < secrets.BASE] == brute_secrets(t), repr(t)
+        added = [(m.start(), secrets.BASE + k, m.end()) for k, p in enumerate(FULL) for m in re.finditer(p, t) if len(m[0]) >= least[k]]
+        assert [x for x in got if x[1] >= secrets.BASE] == sorted(added), repr(t)
+
+
+def test_secret_scan_of_long_stretches(scanner):
+    import time
+
+    texts = ["word " * 200_000, "token=" + "aZ9" * 300_000, "token" + " " * 900_000 + "=abcdef", "0a1b" * 200_000, "token=abc " * 90_000, "-----BEGIN " + "A " * 400_000, "é" * 300_000 + " secret=abcdefg"]
+    began = time.perf_counter()
+    got = scanner.spans([t.encode() for t in texts])
+    assert time.perf_counter() - began < 20
+    assert [[x for x in g if x[1] < secrets.BASE] for g in got] == [brute_secrets(t) for t in texts]
+
+
+def test_anchored_automaton_is_leftmost_longest():
+    rule = secrets.Rule("x", "a+b?", "[cd]+", True, 2)
+    data = np.frombuffer(b"aabcdc abc bcd accd", np.uint8)
+    assert rule.spans(data, 0, len(data)) == [(0, 6), (15, 19)]
+    assert secrets.Automaton(["ab"], anchored=True).longest(bytes([0]), 0, 0) == -1
