@@ -19,16 +19,22 @@ IC(e) or more), and is generalised otherwise: a number to [NUMBER], a word to [T
 It stays in other documents. Mentions themselves are replaced by their kind.
 
 Plan: one scan of the texts detects and stages the mentions, and the texts that have
-any with their mentions blanked; pairs are exploded row by row and aggregated with
+any with their mentions blanked, under a key for each row. Entities that exactly the same rows
+hold have the same statistics, so they are one class (their number of rows and two
+hashes of the set of rows): a text with 100,000 addresses of its own has one class, not 100,000.
+Classes and terms are paired row by row and aggregated with
 map-side counts; one more scan counts df(t), for the terms that have enough support: a
 join with that set, broadcast only after its rows were counted, else after the count
 of all terms, so that no word of a text is shuffled by itself. An entity or a term that
-a third of all rows share is one pre-aggregated row per task. Only texts with mentions
-are staged; the query moves none but those that have terms to replace.
+a third of all rows share is one pre-aggregated row per task. Rows without a mention
+are never moved; the others are only where the terms told of them are too many to broadcast.
 
-Nulls and odd input: a null text is an empty one; ids may be null or repeat: spans
-are matched back by id and a hash of the text, null ids included; an
-empty table gives an empty result; other columns are carried by `sanitise` and not
+Long texts: places come from running sums over pieces of bounded length, terms are looked up in
+a table of hashed slots, and new texts are joined from an array of pieces, so the time for a text is in
+proportion to its length, however many mentions and terms it has.
+
+Nulls and odd input: a null text is an empty one; ids may be null or repeat, as rows
+go by their own key; an empty table gives an empty result; other columns are carried by `sanitise` and not
 read by `find`.
 """
 
@@ -37,7 +43,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stage
+from .common import stage
 
 SUPPORT = 3
 SHARE = 0.9
@@ -57,7 +63,9 @@ _WORD = r"[\p{L}\p{N}]++"
 _BLANK = "\ufdd0"
 _OUTSIDE = rf"(?<![\p{{L}}\p{{N}}{_BLANK}])[\p{{L}}\p{{N}}]++(?!{_BLANK})"
 _CHUNK = 128
-_SLOTS = 64
+_PIECE = 1024  # code points; a power of two
+_SHIFT = 10
+_CLASS = ["df_e", "x", "y"]
 
 
 def _let(value: Column, use) -> Column:
@@ -65,20 +73,46 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _sums(sizes: Column) -> Column:
-    """Running totals of an array<int>: in chunks, as each step copies what it has."""
+def _running(values: Column, join) -> Column:
+    """Running totals of an array<int> of numbers from 0 on, by `join` (a sum or a maximum): in chunks, as each step copies what it has."""
 
     def small(part):
-        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x)).alias("all"))
+        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(join(acc["at"], x))).alias("all"))
         return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step)
 
     def of(a):
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _CHUNK).cast("int")), lambda k: small(F.slice(a, k * _CHUNK + 1, _CHUNK)))
-        step = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["all"], F.array(F.transform(c["all"], lambda v: v + acc["at"]))).alias("all"))
+        step = lambda acc, c: F.struct(join(acc["at"], c["at"]).alias("at"), F.concat(acc["all"], F.array(F.transform(c["all"], lambda v: join(v, acc["at"])))).alias("all"))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
         return F.flatten(F.aggregate(chunks, start, step, lambda acc: acc["all"]))
 
-    return _let(sizes, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast("array<int>")))
+    return _let(values, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast("array<int>")))
+
+
+def _sums(sizes: Column) -> Column:
+    return _running(sizes, lambda a, b: a + b)
+
+
+def _cut(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text that was cut into pieces; looks only at the pieces it needs."""
+    first = F.shiftright(a, _SHIFT)
+    some = F.slice(pieces, first + 1, F.greatest(F.shiftright(b - 1, _SHIFT) - first + 1, F.lit(0)))
+    return F.substring(F.array_join(some, ""), a - F.shiftleft(first, _SHIFT) + 1, b - a)
+
+
+def _spliced(text: Column, spans: Column, new) -> Column:
+    """text joined anew: new(span, at, cut) for each of the sorted spans, `at` being where the spans before it end and cut(a, b) the
+    text from a to b, and the rest of the text."""
+    held = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)).alias("pieces"), spans.alias("spans"))
+
+    def of(z):
+        cut = lambda a, b: _cut(z["pieces"], a, b)
+        ends = F.concat(F.array(F.lit(0)), _running(F.transform(z["spans"], lambda x: x["e"]), F.greatest))
+        # there is one end more than there are spans
+        one = lambda x, at: F.when(x["e"].isNull(), cut(at, F.length(text))).otherwise(new(x, at, cut))
+        return F.array_join(F.zip_with(z["spans"], ends, one), "")
+
+    return _let(held, of)
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -141,12 +175,11 @@ def _entities(found: Column) -> Column:
 def _blanked(text: Column, found: Column) -> Column:
     """text, as long as before, with every code point of a mention blanked."""
 
-    def step(acc, x):
-        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.repeat(F.lit(_BLANK), x["e"] - F.greatest(x["s"], acc["at"])))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["e"] > acc["at"], cut).otherwise(acc["out"]).alias("out"))
+    def new(x, at, cut):
+        start = F.greatest(x["s"], at)
+        return F.when(x["e"] > at, F.concat(cut(at, start), F.repeat(F.lit(_BLANK), x["e"] - start))).otherwise("")
 
-    spans = F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return _spliced(text, F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), new)
 
 
 def _terms(blanked: Column) -> Column:
@@ -156,64 +189,87 @@ def _terms(blanked: Column) -> Column:
 
 
 def _places(blanked: Column, told: Column) -> Column:
-    """array<struct<s, e, removed>>: wherever a told term (struct<term, removed>) stands; terms are looked up by a hash, as a text may have many."""
-    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(_SLOTS)).cast("int")
-    slots = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda k: F.filter(told, lambda x: slot(x["term"]) == k))
+    """array<struct<s, e, removed, number>>: wherever a told term (struct<term, removed>) stands. Terms are looked up by two hashes, in a table with about as many slots as there are terms."""
+    slot = lambda term, n, k: F.pmod(F.xxhash64(term, F.lit(k)), n).cast("int")
+
+    def table(t):
+        n = F.ceil(F.sqrt(F.size(t) / 8)).cast("int") + 1
+        deal = lambda part, n, k: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.filter(part, lambda x: slot(x["term"], n, k) == j))
+        return _let(n, lambda n: F.struct(n.alias("n"), F.transform(deal(t, n, 0), lambda part: deal(part, n, 1)).alias("all")))
 
-    def of(table):
-        removed = lambda t: F.get(F.filter(F.get(table, slot(t)), lambda x: x["term"] == t), 0)["removed"]
-        return F.transform(_spans(blanked, _OUTSIDE), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), removed(F.lower(w["m"])).alias("removed")))
+    def of(z):
+        def removed(term):
+            return _let(term, lambda t: F.get(F.filter(F.get(F.get(z["all"], slot(t, z["n"], 0)), slot(t, z["n"], 1)), lambda x: x["term"] == t), 0)["removed"])
 
-    return F.filter(_let(slots, of), lambda x: x["removed"].isNotNull())
+        return F.transform(_spans(blanked, _OUTSIDE), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), removed(F.lower(w["m"])).alias("removed"), w["m"].alias("m")))
 
+    hits = F.filter(_let(_let(told, table), of), lambda x: x["removed"].isNotNull())
+    return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["removed"].alias("removed"), x["m"].rlike(r"^\p{N}+$").alias("number")))
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged, for every row: doc_id, th (hash of the text), found (base mentions); and of texts with mentions, blanked and terms (its words)."""
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Staged, for every row: row (its key), doc_id, found (base mentions); of texts with mentions, blanked and terms (its words); if asked for, doc (the row itself)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", mentions(F.col("text")).alias("found"))
-    blanked = F.when(F.size("found") > 0, _blanked(F.translate("text", _BLANK, " "), F.col("found")))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "found", blanked.alias("blanked"))
-    return stage(rows.select("*", _terms(F.col("blanked")).alias("terms")), "pii-found")
-
-
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(entity, term, removed): the terms that give an entity away."""
-    held = found.where(F.size("found") > 0)
-    n = found.agg(F.count("*").alias("n"))
-    ents = stage(held.select(F.explode(_entities(F.col("found"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e")), "pii-entities")
-    ents = F.broadcast(ents) if ents.count() <= most_broadcast else ents
-    pairs = held.select(F.explode(_entities(F.col("found"))).alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).join(ents, "entity").where(F.col("c") >= F.least(F.lit(support), F.col("df_e")))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *own)
+    rows = rows.withColumn("found", mentions(F.col("text")))
+    rows = rows.withColumn("blanked", F.when(F.size("found") > 0, _blanked(F.translate("text", _BLANK, " "), F.col("found")))).drop("text")
+    return stage(rows.withColumns({"terms": _terms(F.col("blanked")), "row": F.monotonically_increasing_id()}), "pii-found")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """A staged table, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def classes(found: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Staged: (row, df_e, x, y), the classes of the entities that each row holds. df_e is the number of rows that hold the class, x and y are hashes of their set."""
+    said = found.where(F.size("found") > 0).select("row", F.explode(_entities(F.col("found"))).alias("entity"))
+    own = said.groupBy("entity").agg(F.count("*").alias("df_e"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    own = _small(stage(own, "pii-entities"), most_broadcast)
+    return stage(said.join(own, "entity").select("row", *_CLASS).distinct(), "pii-classes")
+
+
+def _pairs(found: DataFrame, of: DataFrame, most_broadcast: int) -> DataFrame:
+    """(row, df_e, x, y, term) for the classes and the terms of each row."""
+    held = found.where(F.size("found") > 0).select("row", "terms")
+    return held.join(_small(of, most_broadcast), "row").select("row", *_CLASS, F.explode("terms").alias("term"))
+
+
+def disclosing(found: DataFrame, of: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(df_e, x, y, term, removed): the terms that give the entities of a class away."""
+    n = F.lit(float(found.count()))
+    both = _pairs(found, of, most_broadcast).groupBy(*_CLASS, "term").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(support), F.col("df_e")))
     # a term is in at least as many documents as hold it beside some entity: pairs that this bound rules out already needn't be counted in all texts
-    seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    ic = F.log2(F.col("n") / F.col("df_e"))
-    pmi = lambda df_t: F.log2(F.col("c") * F.col("n") / (F.col("df_e") * F.col(df_t)))
-    both = both.join(seen, "term").crossJoin(F.broadcast(n))  # n is one row
-    both = stage(both.where((ic > 0) & (pmi("least") >= share * ic)), "pii-pairs")
+    seen = found.where(F.size("found") > 0).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    ic = F.log2(n / F.col("df_e"))
+    pmi = lambda df_t: F.log2(F.col("c") * n / (F.col("df_e") * F.col(df_t)))
+    both = stage(both.join(seen, "term").where((ic > 0) & (pmi("least") >= share * ic)), "pii-pairs")
     wanted = stage(both.select("term").distinct(), "pii-terms")
     n_terms = wanted.count()
     if not n_terms:
-        return both.select("entity", "term", F.lit(False).alias("removed")).limit(0)
+        return both.select(*_CLASS, "term", F.lit(False).alias("removed")).limit(0)
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_WORD), F.lit(0)), F.lower))).alias("term"))
     if n_terms <= most_broadcast:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     counted = words.groupBy("term").agg(F.count("*").alias("df_t"))
     told = both.join(counted, "term")
-    return told.where(pmi("df_t") >= share * ic).select("entity", "term", (pmi("df_t") >= ic).alias("removed"))
+    return told.where(pmi("df_t") >= share * ic).select(*_CLASS, "term", (pmi("df_t") >= ic).alias("removed"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, th, found, terms (array<struct<s, e, removed>> or null) for every row of docs."""
-    found = detect(docs, id_col, text_col)
-    tells = stage(disclosing(found, docs, text_col, **options), "pii-tells")
-    held = found.where(F.size("found") > 0)
-    own = held.select("doc_id", "th", "terms", F.explode(_entities(F.col("found"))).alias("entity")).select("doc_id", "th", "entity", F.explode("terms").alias("term"))
-    # equal rows have equal terms: one list per (id, text)
-    told = own.join(tells, ["entity", "term"]).groupBy("doc_id", "th", "term").agg(F.max("removed").alias("removed"))
-    told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("th").alias("told_th")).agg(F.collect_list(F.struct("term", "removed")).alias("told"))
-    met = found.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("th") == F.col("told_th")), "left")
-    return met.select("doc_id", "th", "found", F.when(F.col("told").isNotNull(), _places(F.col("blanked"), F.col("told"))).alias("terms"))
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
+    """doc_id, found, terms (array<struct<s, e, removed, number>> or null) and, if asked for, doc, for every row of docs."""
+    found = detect(docs, id_col, text_col, whole)
+    of = classes(found, most_broadcast)
+    tells = stage(disclosing(found, of, docs, text_col, most_broadcast=most_broadcast, **options), "pii-tells")
+    told = _pairs(found, of, most_broadcast).join(_small(tells, most_broadcast), [*_CLASS, "term"]).groupBy("row", "term").agg(F.max("removed").alias("removed"))
+    told = stage(told.groupBy("row").agg(F.collect_list(F.struct("term", "removed")).alias("told")), "pii-told")
+    rows, terms = told.agg(F.count("*"), F.coalesce(F.sum(F.size("told")), F.lit(0))).first()
+    side = F.broadcast(told) if rows <= most_broadcast and terms <= 10 * most_broadcast else told
+    own = ["doc_id", "found", *["doc"] * whole]
+    met = found.where(F.size("found") > 0).join(side, "row", "left")
+    met = met.select(*own, F.when(F.col("told").isNotNull(), _places(F.col("blanked"), F.col("told"))).alias("terms"))
+    return met.unionByName(found.where(F.size("found") == 0).select(*own, F.lit(None).cast(met.schema["terms"].dataType).alias("terms")))
 
 
 def _joined(kinds_and_spans: Column) -> Column:
@@ -224,40 +280,28 @@ def digest(found: DataFrame) -> DataFrame:
     """The query's columns from what `find` gives."""
     name = F.array(*[F.lit(k) for k, _, _ in KINDS])
     base = F.transform("found", lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["s"], x["e"]))
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,removed:boolean>>")), lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["e"]))
+    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,removed:boolean,number:boolean>>")), lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["e"]))
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, (kind, _, _) in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, terms)).alias("spans"))
 
 
 def _rewrite(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its `r`; spans that overlap go together under the first one's."""
+    """text with each of the sorted spans replaced by its `r`; spans that overlap go together under the first one's."""
+    return _spliced(text, spans, lambda x, at, cut: F.when(x["s"] >= at, F.concat(cut(at, x["s"]), x["r"])).otherwise(""))
 
-    def step(acc, x):
-        new = x["s"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["r"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with mentions and disclosing terms replaced in the text; every row and column is kept."""
-    found = find(docs, id_col, text_col, **options)
+    found = find(docs, id_col, text_col, whole=True, **options)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k, _, _ in KINDS])
-    base = F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(marks, x["kind"]).alias("r"), F.lit(False).alias("term")))
-    terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], F.lit("")).otherwise(F.lit("*")).alias("r"), F.lit(True).alias("term")))
-    spans = F.array_sort(F.concat(base, F.coalesce(terms, F.array().cast("array<struct<s:int,e:int,r:string,term:boolean>>"))))
-    changed = stage(found.where(F.size("found") > 0).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", spans.alias("spans")), "pii-spans")
-    size = changed.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    key_id, key_th, own = fresh(docs, "pii_id", "pii_th", "pii_spans")
-    changed = changed.select(F.col("doc_id").alias(key_id), F.col("th").alias(key_th), F.col("spans").alias(own))
-    side = F.broadcast(changed) if size[0] <= most_broadcast and size[1] <= 10 * most_broadcast else changed
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    met = docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col(key_id)) & (F.xxhash64(text) == F.col(key_th)), "left")
-    general = F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["r"] == "*", F.when(F.substring(text, x["s"] + 1, x["e"] - x["s"]).rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))).otherwise(x["r"]).alias("r")))
-    new = F.when(F.col(own).isNotNull(), _rewrite(text, general)).otherwise(F.col(text_col))
-    return met.withColumn(text_col, new).select(*docs.columns)
+    base = F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(marks, x["kind"]).alias("r")))
+    general = lambda x: F.when(x["removed"], F.lit("")).when(x["number"], F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
+    terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), general(x).alias("r")))
+    spans = F.array_sort(F.concat(base, F.coalesce(terms, F.array().cast("array<struct<s:int,e:int,r:string>>"))))
+    old = F.col("doc").getField(text_col)
+    new = F.when(F.size("found") > 0, _rewrite(old.cast("string"), spans)).otherwise(old.cast("string"))
+    return found.select(*[(new.cast(docs.schema[c].dataType) if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
