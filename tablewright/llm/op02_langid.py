@@ -10,14 +10,15 @@ training texts, less a margin), `rejected` is set: the text is unlike all that
 was learned.
 
 The classifier is fitted on a bounded sample: at most `sample_rows` labelled
-rows for each language, chosen by a hash of the id. Inverse document
-frequencies are counted on that sample too, as part of the fit. Prediction
-reads whole texts, row by row: no key, so nothing can be hot. The model's size
-is (languages x per_language + 1) x dims floats whatever the corpus.
+rows for each language, or `all_rows` / languages if that is less (one at least), chosen
+by a hash of the id and the text. Every language in the labels is learned, however many
+there are and however rare. Inverse document frequencies are counted on that sample too,
+as part of the fit. Prediction reads whole texts, row by row: no key, so nothing can be hot. The
+model's size is (languages x per_language + 1) x dims floats whatever the corpus.
 
 Nulls and odd input: a null text, or one without a letter, is `und` with score
-0; rows with a null language teach nothing; without any labelled row all texts
-are `und`; an empty table gives an empty result; other columns are not read.
+0; rows with a null language teach nothing, and rows of equal id, text and language teach once; without any
+labelled row all texts are `und`; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import crc_mod, share, spans_of
 
 DIMS = 4096
 SAMPLE_ROWS = 1500
+ALL_ROWS = 20_000
 PER_LANGUAGE = 8
 
 
@@ -137,20 +139,21 @@ class Model:
         return names, scores, rejected
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, dims: int = DIMS, per_language: int = PER_LANGUAGE, languages: int = 200, longest: int = 200_000_000) -> Model:
-    """labelled: rows to learn from. At most `sample_rows` rows of each of the `languages` commonest languages reach the driver."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("l is not null and t is not null")
-    h = F.xxhash64(F.col("i").cast("string"))
-    n = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()
-    # a threshold on the hash leaves about twice the bound, so that no window ever sees a large language whole
-    cut = F.lit(None)
-    for r in n:
-        share = min(1.0, 2.0 * sample_rows / r["count"] + 200 / r["count"])
-        cut = F.when(F.col("l") == r["l"], F.lit(share)).otherwise(cut)
-    near = rows.where((F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) < cut) if n else rows.limit(0)
-    top = near.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(h, "i"))).where(F.col("n") <= sample_rows)
-    got = top.select("l", "t").collect()
-    return Model([r.t for r in got], [r.l for r in got], dims, per_language)
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, all_rows: int = ALL_ROWS, dims: int = DIMS, per_language: int = PER_LANGUAGE) -> Model:
+    """labelled: rows to learn from. Of each language at most min(sample_rows, all_rows / languages) rows reach the driver, one at least."""
+    rows = labelled.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("string").alias("i")).where("l is not null and t is not null")
+    rows = rows.select("l", "t", F.xxhash64("i", "t").alias("h"))
+    n = rows.groupBy("l").agg(F.count("*").alias("n"))
+    names = n.count()
+    most = max(1, min(sample_rows, all_rows // max(1, names)))
+    # a threshold on the hash leaves about twice the bound, so that no window ever sees a large language whole; few rows stay whole
+    cut = n.select("l", F.when(F.col("n") <= 4 * most + 200, F.lit(1.0)).otherwise((2.0 * most + 200) / F.col("n")).alias("cut"))
+    cut = F.broadcast(cut) if names <= 100_000 else cut
+    near = rows.join(cut, "l").where((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) < F.col("cut"))
+    once = near.groupBy("l", "h").agg(F.min("t").alias("t"))  # equal rows are one before they move
+    top = once.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= most)
+    got = sorted((r.l, r.t) for r in top.select("l", "t").collect())
+    return Model([t for _, t in got], [name for name, _ in got], dims, per_language)
 
 
 def _predict(shared):
