@@ -16,7 +16,8 @@ dims x rank floats, whatever the corpus. Scoring reads whole texts, row by row:
 no key, so nothing can be hot.
 
 Nulls and odd input: a null text is an empty one and has a score; labels that
-are null are left out; without any label all scores are 0.5; an empty table
+are null are left out, and so are ids whose labels differ; an id that several documents have stands for the
+smallest of their texts; without any label all scores are 0.5; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -139,7 +140,8 @@ class Model:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text"):
     """At most `rows` labelled (text, label) rows on the driver."""
-    own = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").dropDuplicates(["i"])
+    own = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null")
+    own = own.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("i", "y")
     ids = bounded_ids(own, "i", rows)
     met = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "i")  # `ids` has at most `rows` rows
     got = met.groupBy("i").agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()  # one row for each id, however often the documents repeat it
