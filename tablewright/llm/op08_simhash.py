@@ -118,6 +118,7 @@ def forest(codes: np.ndarray, radius: int = 3) -> list[tuple[int, int]]:
         return [(int(codes[0]), int(codes[1]))] if int(np.bitwise_count(codes[0] ^ codes[1])) <= radius else []
     codes = codes[np.argsort(gray_rank(codes))]
     label, links = np.arange(n), []
+    members = {i: [i] for i in range(n)}
 
     def visit(who, lo, hi):
         lows = label[lo:hi]
@@ -134,10 +135,14 @@ def forest(codes: np.ndarray, radius: int = 3) -> list[tuple[int, int]]:
                     break
                 first = np.flatnonzero(hit)
                 for i, j in zip(first.tolist(), open_[first].argmax(axis=1).tolist()):
-                    a, b = label[q[i]], label[lo + j]
+                    a, b = int(label[q[i]]), int(label[lo + j])
                     if a != b:
                         links.append((int(codes[q[i]]), int(codes[lo + j])))
-                        label[label == max(a, b)] = min(a, b)
+                        if len(members[a]) < len(members[b]):
+                            a, b = b, a
+                        gone = members.pop(b)  # the smaller side is renamed, so a code is renamed at most log2(n) times
+                        label[gone] = a
+                        members[a] += gone
 
     GrayIndex(codes).search(codes, radius, visit)
     return links
