@@ -21,7 +21,7 @@ number follows spark.sql.shuffle.partitions.
 Words are told apart inside a block by two 64-bit hashes; where those disagree, the
 block is done once more by the words themselves. Reserved strings of the tokenizer file
 are words of their own, as the library has it. Characters are classed as the library
-does; code points that Python's own table doesn't assign are signs.
+does: the library itself is asked about those that Python's own table doesn't assign, as tables of Unicode differ in age.
 
 Nulls and odd input: a null text is an empty one: no ids, the digests of
 nothing; ids may be null or repeat; an empty table gives an empty result; other
@@ -68,6 +68,8 @@ def byte_alphabet() -> dict[int, str]:
 
 def character_classes() -> np.ndarray:
     """Class of every code point."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
     out = np.zeros(0x110000, np.uint8)
     every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     text = "".join(map(chr, every))
@@ -75,8 +77,11 @@ def character_classes() -> np.ndarray:
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, text):
             out[codes[m.start() : m.end()]] = kind
-    unassigned = [c for c in every if unicodedata.category(chr(c)) == "Cn"]
-    out[unassigned] = SIGN
+    whole = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for c in every:
+        if out[c] != SIGN and unicodedata.category(chr(c)) == "Cn":
+            # it makes one word with a character of its own class
+            out[c] = LETTER if len(whole("a" + chr(c))) == 1 else NUMBER if len(whole("1" + chr(c))) == 1 else SIGN
     return out
 
 
