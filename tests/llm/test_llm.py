@@ -744,3 +744,48 @@ def test_anchored_automaton_is_leftmost_longest():
     data = np.frombuffer(b"aabcdc abc bcd accd", np.uint8)
     assert rule.spans(data, 0, len(data)) == [(0, 6), (15, 19)]
     assert secrets.Automaton(["ab"], anchored=True).longest(bytes([0]), 0, 0) == -1
+
+
+# ---------------------------------------------- 3, every code point's class
+def test_bpe_classes_are_the_library_s(tokenizer):
+    classes = bpe.character_classes()
+    split = tokenizer.pre_tokenizer.pre_tokenize_str
+    for lead, kind in (("a", bpe.LETTER), ("1", bpe.NUMBER), ("!", bpe.SIGN)):
+        # in lines of lead and character, a line of one word (besides its end) has a character of the lead's class
+        codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and classes[c] != bpe.SPACE]
+        text = "".join(lead + chr(c) + "\n" for c in codes)
+        sizes = np.diff([a for _, (a, _) in split(text)] + [len(text)])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        whole = np.isin(np.arange(len(codes)) * 3, starts[sizes == 2])
+        assert (whole == (classes[codes] == kind)).all()
+
+
+# -------------------------------------------------- 6, many mentions in a text
+def test_pii_many_mentions(spark):
+    import time
+
+    many = " ".join(f"user{i}@host{i % 97}.org 10.0.{i % 256}.7 w{i % 500} Ünï{i % 3000}" for i in range(30_000))
+    rows = [(0, many), (1, "+49 30 1234567 " * 3000 + "a.b@c.de"), (2, "İstanbul x@y.zz"), (3, "x@y.zz İSTANBUL"), *[(i, f"plain text number {i} was said w{i % 300}") for i in range(10, 300)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    began = time.perf_counter()
+    got = by_id(pii.digest(pii.find(df)))
+    new = by_id(pii.sanitise(df))
+    assert time.perf_counter() - began < 120
+    for i, t in rows[:4]:
+        want = brute_pii(t)
+        assert got[i].base_sha256 == sha(",".join(want).encode()) and got[i].spans.startswith(",".join(want))
+        assert not brute_pii(new[i].text)
+    # a term's letters are lowered after it was found, so it is found again
+    assert "İ" not in new[2].text and "İ" not in new[3].text
+    # what is not replaced stays, in order
+    text, spans = rows[0][1], sorted(tuple(map(int, x.split(":")[1:])) for x in got[0].spans.split(","))
+    rest = "".join(text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)]))
+    assert re.sub(r"\[[A-Z]+\]", "", new[0].text) == rest
+
+
+def test_pii_classes_of_entities(spark):
+    rows = [(i, f"a{k}@x.org b{k}@x.org c@x.org text {k}") for i, k in enumerate([1, 1, 2, 3])]
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.df_e) for r in found.join(pii.classes(found), "row").collect()}
+    # the two addresses that the same rows hold are one class
+    assert got == {(0, 2), (0, 4), (1, 2), (1, 4), (2, 1), (2, 4), (3, 1), (3, 4)} and pii.classes(found).count() == 8
