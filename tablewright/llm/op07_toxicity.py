@@ -7,20 +7,28 @@ equal strings. The strings are units: the words of a sentence, lower-cased, with
 the signs inside taken out (`i.d-i*o t` is one unit, as are letters spelt out
 with spaces).
 
-Training: sentences of a bounded sample of labelled documents carry their
-document's label. A toxic sentence need not be toxic in every word, so each one
-stands for its likeliest unit (its witness); clean units on the wrong side join the training
-set round by round. Landmarks
-are the units most typical of either label; kernel values against them, whitened
-by the inverse root of the landmarks' own kernel matrix, are the Nystrom features
-of a linear support vector machine. A document's amount is what its different
+Training is on labelled sentences, each a bag of units: those of the toxic documents of a bounded sample are positive, those of
+the clean ones negative. A machine f on units makes one on sentences, f(S) = the largest f of its units: a
+sentence is toxic if one of its units is (a multiple-instance support vector machine). For a negative sentence that
+asks all units to be below the margin, so its units are examples themselves. For a positive sentence it
+asks one of them, its witness, to be above: first the unit of best odds, then the one of largest f, round by
+round until no witness changes. Since a document's label says little about each of its sentences, a
+positive sentence none of whose units speaks for toxicity by its odds has no witness.
+Landmarks of the toxic side with a character put in are examples too. The machine is solved by working sets: it starts with the clean units most like the landmarks,
+and with evenly spaced ones, and clean units that are over the margin by more than SLACK join, JOIN in a round, until there are none.
+Landmarks are the units most typical of either label; kernel values against them, whitened
+by the inverse root of the landmarks' own kernel matrix, are the Nystrom features. A document's amount is what its different
 notable units have above the floor, divided by the root of its length; isotonic regression on the sample makes it a score.
 
 Scoring: the distinct units of all documents are gathered once (a set per batch,
-then a distinct), each distinct unit meets the landmarks once, and the units above
-`floor` are looked up by the documents. Those units are few; they are counted
-and sent in blocks of at most `block_units`, one look-up pass for each block, so no
-broadcast grows with the corpus. Whole texts are read; no key can be hot.
+then a distinct) and each distinct unit meets the landmarks once; those above `floor` are notable. A filter of
+fixed size (FILTER_BITS bits) with their hashes is all that is broadcast. A second pass over the texts
+keeps, for each document, its length and its different units that pass the filter; these few meet the
+notable units by a join, whose amounts are added up for each document. Nothing else goes through the driver, and a filter that
+fills up costs time, not results. Whole texts are read; no key can be hot, as amounts are aggregated before they meet their documents.
+
+Bounds, all of the fit and none of scoring: `sample_rows` labelled rows; LANDMARKS units of the toxic side and half as many of the clean one;
+SLACK of the margin, and ROUNDS of choosing witnesses. LIKEST, SPREAD and JOIN only say in which order clean units join.
 
 Nulls and odd input: a null or empty text has the score of a text without a
 notable unit; null labels are left out; without labels of both kinds every
@@ -42,8 +50,14 @@ from .op04_quality import sample
 ORDER, DECAY = 3, 0.6
 LANDMARKS = 64  # of toxic units; half as many of clean ones
 SAMPLE_ROWS = 4000
+COST = 20.0
 POWER = 3  # of the scaled kernel; a power of a kernel is one, and a higher power is more local
-BLOCK_UNITS = 200_000
+FILTER_BITS, BLOCK_UNITS = 1 << 26, 500_000
+POSITIVE, INSERTED = 4.0, 0.3  # weights of witnesses and of variants, against 1 of a clean unit
+LIKEST, SPREAD = 3000, 2000  # clean units to begin with: those most like the toxic landmarks, and evenly spaced ones
+JOIN = 3000  # clean units that join in a round
+SLACK = 0.2  # by which a clean unit may be over the margin (-1) without joining
+ROUNDS = 2  # of choosing witnesses
 FLOOR = -0.6
 THRESHOLD = 0.7
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -113,21 +127,47 @@ class Landmarks:
         return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Linear support vector machine (hinge loss) by dual coordinate descent; the last feature is the intercept."""
+def svm(x: np.ndarray, y: np.ndarray, top: np.ndarray, alpha: np.ndarray | None = None, rounds: int = 40, tolerance: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, duals) of a linear support vector machine (hinge loss, costs `top`) by dual coordinate descent from `alpha` on; the last weight is the intercept."""
     z = np.column_stack((x, np.ones(len(x)))).astype(np.float64)
-    q, alpha, w = (z * z).sum(axis=1), np.zeros(len(z)), np.zeros(z.shape[1])
-    rng, top = np.random.default_rng(3), cost * weight
-    live = np.arange(len(z))
-    for r in range(rounds):
-        margins = y * (z @ w)
-        live = np.flatnonzero((margins < 1) | (alpha > 0)) if r else np.arange(len(z))
+    alpha = np.zeros(len(z)) if alpha is None else alpha.copy()
+    q, w = (z * z).sum(axis=1), (alpha * y) @ z
+    rng = np.random.default_rng(3)
+    for _ in range(rounds):
+        gradient = y * (z @ w) - 1
+        off = np.where(alpha <= 0, np.minimum(gradient, 0), np.where(alpha >= top, np.maximum(gradient, 0), gradient))
+        live = np.flatnonzero(np.abs(off) > tolerance)
+        if not len(live):
+            break
+        live = np.flatnonzero((gradient < 0.1) | (alpha > 0))
         for i in rng.permutation(live).tolist():
             new = min(max(alpha[i] - (y[i] * (z[i] @ w) - 1) / q[i], 0.0), top[i])
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * z[i]
                 alpha[i] = new
-    return w[:-1], float(w[-1])
+    return w, alpha
+
+
+def working_set_svm(plus: np.ndarray, top: np.ndarray, minus: np.ndarray, first: np.ndarray, join: int = JOIN, slack: float = SLACK) -> np.ndarray:
+    """Weights (the last is the intercept) of the machine with all of `plus` (costs `top`) and all of `minus` (the cost of one weight): rows of `minus` that are over the margin by more than `slack` join the ones at places `first`, the worst `join` of them in a round, until there are none."""
+    chosen, alpha = np.unique(first), None
+    held = np.zeros(len(minus), bool)
+    held[chosen] = True
+    while True:
+        y = np.concatenate((np.ones(len(plus)), -np.ones(len(chosen))))
+        w, alpha = svm(np.concatenate((plus, minus[chosen])), y, np.concatenate((top, np.full(len(chosen), COST))), alpha)
+        margin = minus @ w[:-1].astype(minus.dtype) + w[-1]
+        wrong = np.flatnonzero((margin > -1 + slack) & ~held)
+        if not len(wrong):
+            return w
+        more = wrong[np.argsort(-margin[wrong], kind="stable")[:join]]
+        held[more] = True
+        chosen, alpha = np.concatenate((chosen, more)), np.concatenate((alpha, np.zeros(len(more))))
+
+
+def variants(unit: str) -> list[str]:
+    """The unit with one character put in."""
+    return [unit[:i] + c + unit[i:] for i in range(1, len(unit)) for c in "xe"]
 
 
 class Model:
@@ -158,62 +198,62 @@ class Model:
         n = [len(a) for a in apart]
         usable = np.array([ORDER <= len(u) <= _PIECE for u in names])
         odds = np.log((seen[1] + 0.1) / (n[1] + 1)) - np.log((seen[0] + 0.1) / (n[0] + 1))
-        odds[(seen[1] < 2) | ~usable | (odds <= np.log(4))] = 0.0
-        bad = [names[i] for i in self._cover([set(b[odds[b] > 0].tolist()) for b in bags if b is not None], odds)]
+        typical = np.where((seen[1] < 2) | ~usable | (odds <= np.log(4)), 0.0, odds)
+        bad = [names[i] for i in self._cover([set(b[typical[b] > 0].tolist()) for b in bags if b is not None], typical)]
+        del bags
         if not bad:
             return
         taken = set(bad)
         common = [names[i] for i in np.lexsort((np.arange(len(names)), -seen[0] * usable))[: LANDMARKS // 2 + len(bad)].tolist() if usable[i] and names[i] not in taken][: LANDMARKS // 2]
         self.marks = Landmarks(bad + common)
-        own = self.marks(bad + common).astype(np.float64)
-        value, vector = np.linalg.eigh(own)
+        value, vector = np.linalg.eigh(self.marks(bad + common).astype(np.float64))
         root = (vector @ np.diag(1 / np.sqrt(np.maximum(value, 2e-3))) @ vector.T).astype(np.float32)
-        where = np.flatnonzero(usable & ((seen[1] > 0) | (seen[0] > 1)))  # the others are too many and too rare to learn from
+        where = np.flatnonzero(usable)
         pool = [names[i] for i in where.tolist()]
-        k = self.marks(pool)
-        at = np.full(len(names), -1, np.int64)
-        at[where] = np.arange(len(where))
-        margin = (odds * np.sqrt(seen[1]) - 4.0)[where]
-        pure = (seen[1] * n[0] >= 8 * seen[0] * n[1])[where]
-        witness = set()
-        for sentence in apart[1]:
-            own = [i for i in at[list(sentence)].tolist() if i >= 0]
-            best = max(own, key=lambda i: (margin[i], -i), default=None)
-            if best is not None and margin[best] > 0 and pure[best]:
-                witness.add(best)
-        plus = np.array(sorted(witness), np.int64)
-        if not len(plus):
-            return
-        del apart, bags
-        x = k @ root
-        # a witness with one character put in is as toxic as the witness
-        wider = sorted({u[:i] + c + u[i:] for u in (pool[i] for i in plus) for i in range(1, len(u)) for c in "xe"} - set(pool))
-        wider = wider[:: max(1, len(wider) // 1500)]
-        x_plus, n_plus = np.concatenate((x[plus], self.marks(wider) @ root)), len(plus) + len(wider)
+        x, like = np.empty((len(pool), len(bad) + len(common)), np.float32), np.empty(len(pool), np.float32)
+        for at in range(0, len(pool), 20_000):
+            k = self.marks(pool[at : at + 20_000])
+            x[at : at + 20_000], like[at : at + 20_000] = k @ root, k[:, : len(bad)].max(axis=1)
+        place = np.full(len(names), -1, np.int64)
+        place[where] = np.arange(len(where))
+        # units that can be witnesses: they speak for toxicity by their odds, with some support
+        speaks = ((typical * np.sqrt(seen[1]) > 4.0) & (seen[1] * n[0] >= 8 * seen[0] * n[1]))[where]
+        said = (typical * np.sqrt(seen[1]))[where]
+        candidates = [own for own in ([i for i in place[list(s)].tolist() if i >= 0 and speaks[i]] for s in sorted(apart[1])) if own]
         clean = (seen[0] * n[1] > seen[1] * n[0])[where]
-        clean[plus] = False
+        del apart
         minus = np.flatnonzero(clean)
-        likest = minus[np.argsort(-k[:, : len(bad)].max(axis=1)[minus], kind="stable")[:3000]]
-        del k
-        chosen = np.unique(np.concatenate((likest, minus[:: max(1, len(minus) // 2000)])))
-        for _ in range(3):  # clean units on the wrong side of the margin join, round by round
-            rows = np.concatenate((x_plus, x[chosen]))
-            sign = np.concatenate((np.ones(n_plus), -np.ones(len(chosen))))
-            w, b = _svm(rows, sign, np.concatenate((np.full(len(plus), max(3.0, 0.1 * len(chosen) / len(plus))), np.full(len(wider), 0.3), np.ones(len(chosen)))))
-            margin = x @ w + b
-            wrong = minus[margin[minus] > -0.8]
-            more = np.unique(np.concatenate((chosen, wrong[np.argsort(-margin[wrong], kind="stable")[:3000]])))
-            if len(more) == len(chosen):
+        first = np.unique(np.concatenate((np.argsort(-like[minus], kind="stable")[:LIKEST], np.arange(0, len(minus), max(1, len(minus) // SPREAD)))))
+        wider = sorted({v for u in bad for v in variants(u)} - set(names))
+        x_wider = self.marks(wider) @ root
+        witness: set[int] = set()
+        for _ in range(ROUNDS):
+            new = {max(own, key=lambda i: (said[i], -i)) for own in candidates}
+            if not new or new == witness:
                 break
-            chosen = more
-        self.weights, self.bias = (root @ w).astype(np.float32), b
-        named = {pool[i].encode(): float(margin[i]) for i in np.flatnonzero(margin > self.floor).tolist()}
+            witness = new
+            plus = np.array(sorted(witness), np.int64)
+            rows = np.concatenate((x[plus], x_wider))
+            apart_from = minus[~np.isin(minus, plus)]
+            w = working_set_svm(rows, np.concatenate((np.full(len(plus), COST * POSITIVE), np.full(len(wider), COST * INSERTED))), x[apart_from], np.searchsorted(apart_from, np.setdiff1d(minus[first], plus)))
+            said = x @ w[:-1].astype(np.float32) + w[-1]  # a sentence's next witness is the unit of largest margin
+        if not witness:
+            return
+        self.weights, self.bias = (root @ w[:-1]).astype(np.float32), float(w[-1])
         del x
-        self.curve = self._monotone(np.array([self.amount(units(t.encode()), named) for t in texts]), y)
-
-    def amount(self, own: list[bytes], notable: dict[bytes, float]) -> float:
+        # the amounts that the curve is fitted to are counted as in scoring: over all units, long ones by their pieces
+        margin = np.full(len(names), -np.inf)
+        margin[where] = said
+        long = [i for i, u in enumerate(names) if len(u) > _PIECE]
+        for at in range(0, len(long), 5000):
+            margin[long[at : at + 5000]] = self.margins([names[i] for i in long[at : at + 5000]])
+        named = {names[i].encode(): float(margin[i]) for i in np.flatnonzero(margin > self.floor).tolist()}
+        amounts = [self.amount(named.keys() & own, named, len(own)) for own in (units(t.encode()) for t in texts)]
+        self.curve = self._monotone(np.array(amounts), y)
+
+    def amount(self, own: set[bytes], notable: dict[bytes, float], n_units: int) -> float:
         """What the different notable units of a text add up to above the floor, against the root of its length."""
-        return sum(notable[u] - self.floor for u in sorted(notable.keys() & own)) / (len(own) + 30) ** 0.5
+        return sum(notable[u] - self.floor for u in sorted(own)) / (n_units + 30) ** 0.5
 
     @staticmethod
     def _cover(bags: list[set[int]], odds: np.ndarray) -> list[int]:
@@ -287,31 +327,77 @@ def _margins(shared):
     return run
 
 
-def _look_up(shared, notable):
+_CHUNK_BITS = 1 << 16
+
+
+def _slots(batches):
+    """Bits of one chunk after the other, from (chunk, bit) rows sorted by chunk."""
+    now, bits = None, np.zeros(_CHUNK_BITS, bool)
+    names = ["chunk", "bits"]
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=names)
+
+    for b in batches:
+        chunk, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for c in np.unique(chunk).tolist():
+            if now is not None and c != now:
+                yield out()
+                bits[:] = False
+            now = c
+            bits[bit[chunk == c]] = True
+    if now is not None:
+        yield out()
+
+
+def hash_filter(notable: DataFrame, bits: int) -> np.ndarray:
+    """A table of `bits` places, true where the hash of a notable unit falls: at most bits / 8 bytes on the driver, whatever the corpus."""
+    slot = F.pmod(F.xxhash64("unit"), F.lit(bits))
+    rows = notable.select((slot / _CHUNK_BITS).cast("int").alias("chunk"), F.pmod(slot, F.lit(_CHUNK_BITS)).cast("int").alias("bit")).distinct()
+    out = np.zeros(bits, bool)
+    for r in rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_slots, "chunk int, bits binary").toLocalIterator():
+        out[r.chunk * _CHUNK_BITS : (r.chunk + 1) * _CHUNK_BITS] |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)[: bits - r.chunk * _CHUNK_BITS]
+    return np.packbits(out)
+
+
+def _candidates(filter_, bits: int, block_units: int):
     def run(batches):
-        model, known = shared(), notable()
+        import xxhash
+
+        table, digest, known = np.unpackbits(filter_()).astype(bool), xxhash.xxh64_intdigest, {}
         for b in batches:
-            out = [m + model.amount(units(t), known) for t, m in zip(byte_texts(b.column(0)), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.float64())], names=["text", "doc_id", "held_out", "amount"])
+            sizes, found = [], []
+            for t in byte_texts(b.column(0)):
+                own = units(t)
+                some = []
+                for u in set(own):
+                    hit = known.get(u)
+                    if hit is None:
+                        h = digest(u, 42)  # as Spark's xxhash64
+                        hit = known[u] = bool(table[(h - (h >> 63 << 64)) % bits])
+                    if hit:
+                        some.append(u.decode("utf-8", "replace"))
+                sizes.append(len(own))
+                found.append(some)
+                if len(known) > block_units:
+                    known = {}
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "held_out", "n_units", "some"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_units: int = BLOCK_UNITS) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None, filter_bits: int = FILTER_BITS, block_units: int = BLOCK_UNITS) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted. A task remembers what the filter says of at most about block_units units at a time."""
     spark = docs.sparkSession
-    shared = share(spark, model)
     text = F.col(text_col).cast("string").alias("text")
     distinct = docs.select(text).mapInArrow(_gather, "unit string").distinct()
-    notable = stage(distinct.mapInArrow(_margins(shared), "unit string, margin double"), "toxicity-units")
-    rows = docs.select(text, F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.lit(0.0).alias("amount"))
-    schema = "text string, doc_id long, held_out boolean, amount double"
-    block: dict[bytes, float] = {}
-    for r in notable.toLocalIterator():
-        block[r.unit.encode()] = r.margin
-        if len(block) == block_units:
-            rows, block = rows.mapInArrow(_look_up(shared, share(spark, block)), schema), {}
-    rows = rows.mapInArrow(_look_up(shared, share(spark, block)), schema)
+    notable = stage(distinct.mapInArrow(_margins(share(spark, model)), "unit string, margin double"), "toxicity-units")
+    rows = docs.select(text, F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
+    met = rows.mapInArrow(_candidates(share(spark, hash_filter(notable, filter_bits)), filter_bits, block_units), "doc_id long, held_out boolean, n_units long, some array<string>")
+    met = stage(met.withColumn("row", F.monotonically_increasing_id()), "toxicity-candidates")
+    added = met.select("row", F.explode("some").alias("unit")).join(notable, "unit").groupBy("row").agg(F.sum(F.col("margin") - model.floor).alias("above"))
+    amount = F.coalesce("above", F.lit(0.0)) / F.sqrt(F.col("n_units") + 30)
+    rows = met.select("row", "doc_id", "held_out", "n_units").join(added, "row", "left").select("doc_id", "held_out", amount.alias("amount"))
     m, first, last = F.col("amount"), model.curve[0], model.curve[-1]
     score = F.when(m <= first[0], F.lit(first[1]))
     for (x0, p0), (x1, p1) in zip(model.curve, model.curve[1:]):
