@@ -3,22 +3,25 @@
 A word is a lower-cased run of letters and digits of any script; a letter of a
 script that is written without spaces (ideographs, kana, Thai and its like) is a
 word of its own. A shingle is five words (all of them in an item that has fewer). For each benchmark item of L words, the
-windows are the runs of L words of a document. A window's fingerprint is the
+windows are the runs of L words of a document, or the whole document where it is shorter. A window's fingerprint is the
 64-bit SimHash of its words; a window is a candidate of an item where the
-two fingerprints differ in at most `radius` bits. `radius + 1` blocks of bits
-are looked up in a multi-index over the items: two fingerprints within the
-radius must agree in one of the blocks, so none is missed. Candidates are
+two fingerprints differ in at most `radius` bits. A multi-index over the items has four blocks of 16 bits: of two fingerprints within the
+radius, one block differs in radius / 4 bits at most (whole bits), so looking up every value that near in each
+block misses none, and few others are met. Candidates are
 verified exactly: weighted Jaccard similarity of the two multisets of shingles,
 a shingle's weight falling with the number of items of the whole benchmark that
 share it, at least `threshold`. Those numbers are counted first, by an aggregation;
 only shingles of two items or more are sent to all blocks (12 bytes each), as one
 of a single item weighs as much as one of none.
 
-Two savings that lose nothing: a window whose similarity isn't zero shares a
-shingle with the item, so only windows over such a shared shingle are
-fingerprinted; and running sums over a text's words give each fingerprint
+Two savings that lose nothing: the similarity is at most the weight of the item's shingles that the
+window has over the weight of all of them, so only windows are fingerprinted where that bound reaches the threshold
+for some item; and running sums over a text's words give each fingerprint
 without adding its words again.
 
+What the radius loses (a window as similar as the threshold, with fingerprints further apart) is measured by
+tests against brute force on edited passages; short items differ in most bits for each word, which the radius is chosen for.
+
 Each document is judged on its own whole text, so no key can be hot. The
 benchmark is sent to the executors in blocks of at most `block_items` items and
 `block_chars` characters, one pass over the documents for each block; that and
@@ -44,7 +47,8 @@ from pyspark.sql import functions as F
 from .common import SEED_A, WordHasher, gram_hashes, keyed, mixed, share, spans_of, stage, without
 
 SHINGLE = 5
-RADIUS = 15
+RADIUS = 19
+BLOCK_BITS = 16
 THRESHOLD = 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32_000_000
@@ -108,6 +112,12 @@ def word_simhash(h: np.ndarray) -> np.uint64:
     return _pack(_planes(h).sum(axis=0, keepdims=True))[0]
 
 
+def flips(bits: int) -> np.ndarray:
+    """All block values of at most `bits` bits."""
+    every = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
+    return every[np.bitwise_count(every) <= bits]
+
+
 class Items:
     """The benchmark's shingles, fingerprints and multi-index."""
 
@@ -115,7 +125,7 @@ class Items:
         """`shared`: what `shared_shingles` gives for the whole benchmark; without it these rows are the benchmark."""
         self.radius = radius
         self.hasher = hasher = hasher or CodePointHasher()
-        self.ids, self.lengths, self.fps, self.bags, self.total = [], [], [], [], []
+        self.ids, self.lengths, self.fps, self.bags = [], [], [], []
         by_gram, df = defaultdict(set), Counter()
         for item_id, text in rows:
             h = hasher.words([text])[0]
@@ -135,6 +145,7 @@ class Items:
             often = sorted((g, n) for g, n in df.items() if n > 1)
             shared = len(self.ids), np.array([g for g, _ in often], np.uint64), np.array([n for _, n in often], np.int32)
         self.n_items, self.often, self.often_n = shared
+        self.total = [float((self.weights(np.array(list(bag), np.uint64)) * list(bag.values())).sum()) for bag in self.bags]
         self.sizes = sorted({s for s, _ in by_gram})
         self.grams, self.sieves, self.owners = {}, {}, {}
         for s in self.sizes:
@@ -143,21 +154,28 @@ class Items:
             self.grams[s] = np.array(sorted(own), np.uint64)
             self.sieves[s] = np.zeros(1 << 18, bool)
             self.sieves[s][(self.grams[s] >> np.uint64(46)).astype(np.int64)] = True
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:])]
-        self.index = defaultdict(set)  # (item's length, block, its bits) -> items
-        for k, fp in enumerate(self.fps):
-            for b, (shift, mask) in enumerate(self.blocks):
-                self.index[self.lengths[k], b, int((fp >> shift) & mask)].add(k)
+        self.flips = flips(radius * BLOCK_BITS // 64)
+        self.index = {}  # item's length -> for each block, its values in order and the items that have them
+        by_length = defaultdict(list)
+        for k, length in enumerate(self.lengths):
+            by_length[length].append(k)
+        for length, own in by_length.items():
+            own, fps = np.array(own), np.array([self.fps[k] for k in own], np.uint64)
+            self.index[length] = []
+            for shift in range(0, 64, BLOCK_BITS):
+                values = (fps >> np.uint64(shift)) & np.uint64((1 << BLOCK_BITS) - 1)
+                order = np.argsort(values, kind="stable")
+                self.index[length].append((np.uint64(shift), values[order], own[order]))
 
     def near(self, length: int, fps: np.ndarray) -> list[tuple[int, int, int]]:
-        """(number of the window, item, differing bits) for all windows of this length within the radius of an item of the same length."""
+        """(number of the window, item, differing bits) for all windows within the radius of an item of this length."""
         pairs = set()
-        for b, (shift, mask) in enumerate(self.blocks):
-            values = ((fps >> shift) & mask).tolist()
-            for i, v in enumerate(values):
-                for k in self.index.get((length, b, v), ()):
-                    pairs.add((i, k))
+        for shift, values, own in self.index.get(length, ()):
+            for at in range(0, len(fps), 64):
+                asked = (((fps[at : at + 64] >> shift) & np.uint64((1 << BLOCK_BITS) - 1))[:, None] ^ self.flips[None, :]).ravel()
+                low, high = np.searchsorted(values, asked), np.searchsorted(values, asked, side="right")
+                for j in np.flatnonzero(high > low).tolist():
+                    pairs.update((at + j // len(self.flips), k) for k in own[low[j] : high[j]].tolist())
         out = []
         for i, k in pairs:
             bits = int(np.bitwise_count(fps[i] ^ self.fps[k]))
@@ -183,29 +201,45 @@ class Items:
             either += w * max(bag[g], own[g])
         return both / either
 
-    def search(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, bits, similarity) for a document's word hashes: for each item its most similar window."""
-        n, best = len(h), {}
-        anchors = defaultdict(set)  # length -> first words of windows over a shared shingle
+    def starts(self, h: np.ndarray, threshold: float) -> dict[tuple[int, int], set[int]]:
+        """(item's length, window's length) -> first words of the windows whose shared shingles weigh enough for some item of that length."""
+        n, hits = len(h), defaultdict(list)  # item -> (place, weight) of the shingles it shares
         for s in self.sizes:
             g = gram_hashes(h, s)
-            hits = np.flatnonzero(self.sieves[s][(g >> np.uint64(46)).astype(np.int64)])
-            for p, v in zip(hits.tolist(), g[hits].tolist()):
-                for length in {self.lengths[k] for k in self.owners[s].get(v, ())}:
-                    anchors[length].update(range(max(0, p + s - length), min(p, n - length) + 1))
-        for length, starts in anchors.items():
+            at = np.flatnonzero(self.sieves[s][(g >> np.uint64(46)).astype(np.int64)])
+            for p, v, w in zip(at.tolist(), g[at].tolist(), self.weights(g[at]).tolist()):
+                for k in self.owners[s].get(v, ()):
+                    hits[k].append((p, w))
+        out = defaultdict(set)
+        for k, own in hits.items():
+            length, size = self.lengths[k], min(SHINGLE, self.lengths[k])
+            window = min(length, n)
+            places = np.array([p for p, _ in own])
+            sums = np.concatenate(([0.0], np.cumsum([w for _, w in own])))
+            low, high = np.maximum(places - (window - size), 0), np.minimum(places, n - window)  # first and last window over each
+            low[1:] = np.maximum(low[1:], high[:-1] + 1)
+            count = np.maximum(high - low + 1, 0)
+            first = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            weight = sums[np.searchsorted(places, first + window - size, side="right")] - sums[np.searchsorted(places, first)]
+            out[length, window].update(first[weight >= threshold * self.total[k] * (1 - 1e-9)].tolist())
+        return out
+
+    def search(self, h: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, float]]:
+        """(item, first word, bits, similarity) for a document's word hashes: for each item its most similar window, where the similarity can reach the threshold."""
+        best = {}
+        for (length, window), starts in self.starts(h, threshold).items():
             at = np.array(sorted(starts), np.int64)
-            cut = np.flatnonzero(np.diff(at) > length) + 1
-            for part in np.split(at, cut):  # neighbouring windows share their running sums
+            cut = np.flatnonzero(np.diff(at) > window) + 1
+            for part in np.split(at, cut) if len(at) else ():  # neighbouring windows share their running sums
                 for k in range(0, len(part), 4096):
                     some = part[k : k + 4096]
                     lo = int(some[0])
-                    sums = np.zeros((int(some[-1]) + length - lo + 1, 64), np.int32)
-                    np.cumsum(_planes(h[lo : int(some[-1]) + length]), axis=0, out=sums[1:])
-                    fps = _pack(sums[some - lo + length] - sums[some - lo])
+                    sums = np.zeros((int(some[-1]) + window - lo + 1, 64), np.int32)
+                    np.cumsum(_planes(h[lo : int(some[-1]) + window]), axis=0, out=sums[1:])
+                    fps = _pack(sums[some - lo + window] - sums[some - lo])
                     for i, item, bits in self.near(length, fps):
                         start = int(some[i])
-                        grams = gram_hashes(h[start : start + length], min(SHINGLE, length)).tolist()
+                        grams = gram_hashes(h[start : start + window], min(SHINGLE, length)).tolist()
                         sim = self.similarity(item, grams)
                         if item not in best or (-sim, start) < (-best[item][2], best[item][0]):
                             best[item] = (start, bits, sim)
@@ -216,10 +250,10 @@ def _scan(items_bc, threshold):
     def run(batches):
         items = items_bc()
         hasher = items.hasher
-        for b in batches:
+        for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):  # what a worker holds at a time
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             out = []
-            for lo, hi in spans_of([len(t) for t in texts], 1_000_000):
+            for lo, hi in spans_of([len(t) for t in texts], 250_000):
                 h, at, _, _ = hasher.words(texts[lo:hi])
                 cuts = np.searchsorted(at, np.arange(hi - lo + 1))
                 near = np.zeros(hi - lo, bool)
@@ -229,9 +263,9 @@ def _scan(items_bc, threshold):
                     p = p[np.isin(g[p], items.grams[s])]
                     near[at[p]] = True
                 for i in np.flatnonzero(near).tolist():
-                    for k, start, bits, sim in items.search(h[cuts[i] : cuts[i + 1]]):
+                    for k, start, bits, sim in items.search(h[cuts[i] : cuts[i + 1]], threshold):
                         if sim >= threshold:
-                            out.append((ids[lo + i], items.ids[k], start, items.lengths[k], bits, sim))
+                            out.append((ids[lo + i], items.ids[k], start, min(items.lengths[k], int(cuts[i + 1] - cuts[i])), bits, sim))
             names = ["doc_id", "item_id", "start_word", "n_words", "bits", "similarity"]
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(6)], names=names)
