@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from .common import share, spans_of
 
 BLOCK_CHARS = 6_000_000
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 250_000
 #: The splitting rule of byte-level BPE: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIGN, LETTER, NUMBER, SPACE, END = range(5)

@@ -35,6 +35,7 @@ RANK = 64
 SAMPLE_ROWS = 6000
 NEIGHBOURS = 24
 THRESHOLD = 0.3
+CHUNK_CHARS, BATCH_ROWS = 200_000, 512  # what a worker holds at a time
 _REPEATS = 8  # the last columns: counts of repetition
 
 
@@ -130,7 +131,7 @@ class Model:
         if not len(self.y):
             return out
         k = min(self.neighbours, len(self.y))
-        for lo, hi in spans_of([len(t) + 2000 for t in texts], 800_000):
+        for lo, hi in spans_of([len(t) + 2000 for t in texts], CHUNK_CHARS):
             near = self._latent(self._weighted(self.looks.counts(texts[lo:hi]))) @ self.vectors.T
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             w = np.clip(np.take_along_axis(near, top, axis=1), 1e-6, 1) ** 8
@@ -156,9 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **op
 def _score(shared, text_at: int, names):
     def run(batches):
         model = shared()
-        for b in batches:
-            s = model.score([t or "" for t in b.column(text_at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                b = batch.slice(at, BATCH_ROWS)
+                s = model.score([t or "" for t in b.column(text_at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=names)
 
     return run
 
