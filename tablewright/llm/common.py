@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset and everything runs in one place."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.conf.get("tablewright.shared.dir", None)
     if folder is None:
+        if not re.match(r"local(\[[^-,]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("tablewright.shared.dir", folder)
     return folder

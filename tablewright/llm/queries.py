@@ -1,10 +1,10 @@
-"""The subpackage's queries and their SQL."""
+"""The subpackage's queries and their SQL; the entry module adds the pipeline."""
 
 from . import op01_vptree, op02_langid, op03_bpe, op04_quality, op05_secrets, op06_pii, op07_toxicity, op08_simhash, op09_chat, op10_decontam
 
 
 def queries() -> dict:
-    out = {
+    return {
         "op1_vptree": op01_vptree.query,
         "op2_langid": op02_langid.query,
         "op3_bpe": op03_bpe.query,
@@ -16,16 +16,7 @@ def queries() -> dict:
         "op9_chat": op09_chat.query,
         "op10_decontam": op10_decontam.query,
     }
-    import corpus_pipeline
-
-    out["pipeline"] = corpus_pipeline.run
-    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    out = {"op9_chat": op09_chat.SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return out
+    return {"op9_chat": op09_chat.SQL}
