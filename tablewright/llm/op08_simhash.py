@@ -35,6 +35,7 @@ from .common import byte_texts, keyed, stage, without
 
 SEED = 42
 LEAF = 32
+MOST_OF_A_KEY = 1_000_000  # fingerprints of an index partition that one task holds: 8 MB, and about 100 MB of tree and labels
 FAN = 4
 
 
@@ -178,26 +179,57 @@ def _forests(radius):
     return run
 
 
-def _keys(fp):
-    """16 partition keys of a fingerprint: number of the two blocks, then their bits."""
+def _parts(bits, width: int, sizes: list[int]) -> list:
+    """(block, the other bits put together) for each block of a number of `width` bits, from the lowest on."""
+    out, at = [], 0
+    for n in sizes:
+        block = F.shiftrightunsigned(bits, at).bitwiseAND((1 << n) - 1)
+        low = bits.bitwiseAND((1 << at) - 1) if at else F.lit(0).cast("long")
+        high = F.shiftleft(F.shiftrightunsigned(bits, at + n), at) if at + n < width else F.lit(0).cast("long")
+        out.append((block, high.bitwiseOR(low)))
+        at += n
+    return out
+
+
+def _keys(fp) -> list:
+    """(key, the 36 bits that aren't in it) of the 16 partitions of a fingerprint; a key is the number of the two blocks, then their bits."""
     out = []
-    for i in range(4):
-        block = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(0xFFFF)
-        low = fp.bitwiseAND((1 << (16 * i)) - 1) if i else F.lit(0).cast("long")
-        high = F.shiftleft(F.shiftrightunsigned(fp, 16 * (i + 1)), 16 * i) if i < 3 else F.lit(0).cast("long")
-        rest = high.bitwiseOR(low)
-        for j in range(4):
-            sub = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(0xFFF)
-            out.append((F.lit((4 * i + j) << 28).cast("long") + F.shiftleft(block, 12) + sub).alias("k"))
-    return F.array(*out)
-
-
-def links(distinct_fp: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): a spanning forest, per index partition, of all pairs of fingerprints within `radius` (at most 3)."""
+    for i, (block, rest) in enumerate(_parts(fp, 64, [16] * 4)):
+        for j, (sub, left) in enumerate(_parts(rest, 48, [12] * 4)):
+            out.append((F.lit((4 * i + j) << 28).cast("long") + F.shiftleft(block, 12) + sub, left))
+    return out
+
+
+def _crowded(keyed: DataFrame, most: int) -> DataFrame | None:
+    """(key) of the partitions with more than `most` fingerprints, staged; None if there are none."""
+    hot = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "simhash-crowded")
+    return hot if hot.limit(1).count() else None
+
+
+def links(distinct_fp: DataFrame, radius: int = 3, most: int = MOST_OF_A_KEY) -> DataFrame:
+    """(a, b): a spanning forest, per index partition, of all pairs of fingerprints within `radius` (at most 3).
+
+    A partition with more than `most` fingerprints is cut up by the same guarantee: of the bits that aren't in
+    its key, one block of four must be equal in a linked pair; and so on, until no partition is that large.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("the four-block partitions guarantee radii 0 to 3")
-    keyed = distinct_fp.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(radius), "a long, b long").distinct()
+    rows = distinct_fp.select(F.explode(F.array(*[k for k, _ in _keys(F.col("fp"))])).alias("key"), "fp")
+    # no partition has more than the 16-bit block that its key begins with; there are few such blocks to count
+    blocks = distinct_fp.select(F.explode(F.array(*[F.lit(i << 16) + b for i, (b, _) in enumerate(_parts(F.col("fp"), 64, [16] * 4))])).alias("key"))
+    if _crowded(blocks, most) is not None and (hot := _crowded(rows, most)) is not None:
+        both = F.explode(F.array(*[F.struct(k.alias("key"), r.alias("rest")) for k, r in _keys(F.col("fp"))]))
+        large = distinct_fp.select(both.alias("k"), "fp").select("k.key", "k.rest", "fp").join(hot, "key", "left_semi")
+        rows, width = rows.join(hot, "key", "left_anti"), 36
+        while hot is not None:
+            sizes = [width // 4 + (k < width % 4) for k in range(4)]
+            both = F.explode(F.array(*[F.struct(F.xxhash64("key", F.lit(p), block).alias("key"), rest.alias("rest")) for p, (block, rest) in enumerate(_parts(F.col("rest"), width, sizes))]))
+            large = stage(large.select(both.alias("k"), "fp").select("k.key", "k.rest", "fp"), "simhash-large")
+            width -= width // 4
+            hot = _crowded(large, most) if 1 << width > most and width >= 4 else None
+            rows = rows.unionByName((large if hot is None else large.join(hot, "key", "left_anti")).select("key", "fp"))
+            large = large if hot is None else large.join(hot, "key", "left_semi")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:

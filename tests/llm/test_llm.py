@@ -789,3 +789,112 @@ def test_pii_classes_of_entities(spark):
     got = {(r.doc_id, r.df_e) for r in found.join(pii.classes(found), "row").collect()}
     # the two addresses that the same rows hold are one class
     assert got == {(0, 2), (0, 4), (1, 2), (1, 4), (2, 1), (2, 4), (3, 1), (3, 4)} and pii.classes(found).count() == 8
+
+
+# ------------------------------------------------ 8, crowded index partitions
+@pytest.mark.parametrize("most", [1_000_000, 40, 5])
+def test_simhash_crowded_partitions_lose_nothing(spark, most):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base}
+    for _ in range(500):  # many fingerprints with most bits in common
+        x = rng.choice(sorted(fps)[-40:]).item() if rng.random() < 0.5 else base
+        for bit in rng.choice(14, rng.integers(1, 6), replace=False).tolist():
+            x ^= 1 << (bit * 4 + 1)
+        fps.add(int(x))
+    fps = sorted(fps | {int(v) for v in rng.integers(0, 1 << 62, 50)})
+    df = spark.createDataFrame([(int(np.array(x, np.uint64).view(np.int64)),) for x in fps], "fp long")
+    comp = {r.node: r.root for r in sim.components(sim.links(df, most=most)).collect()}
+    mine = [comp.get(int(np.array(x, np.uint64).view(np.int64)), x) for x in fps]
+    want = brute_components(fps, list(range(len(fps))))
+    assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want)) and len(set(want)) < len(fps) - 100
+
+
+# ------------------------------------------------------- 7, the machine itself
+def plain_svm(x, y, top, rounds=3000):
+    """Dual by projected gradient on the whole kernel matrix (linear, and one for the intercept)."""
+    k = (x @ x.T + 1) * np.outer(y, y)
+    alpha, step = np.zeros(len(x)), 1 / np.linalg.eigvalsh(k)[-1]
+    last, momentum = alpha, 1.0
+    for _ in range(rounds):  # with momentum
+        momentum, before = (1 + (1 + 4 * momentum**2) ** 0.5) / 2, momentum
+        ahead = alpha + (before - 1) / momentum * (alpha - last)
+        last, alpha = alpha, np.clip(ahead - step * (k @ ahead - 1), 0, top)
+    return alpha, alpha.sum() - alpha @ k @ alpha / 2
+
+
+def test_svm_equals_a_plain_solver():
+    rng = np.random.default_rng(4)
+    d = pd.read_parquet(f"{SMALL}/documents.parquet").merge(pd.read_parquet(f"{SMALL}/labels.parquet"))
+    sentences = [(s, t) for text, t in zip(d.text, d.toxic) for s in re.split(r"[.!?\n]+", text[:3000])]
+    said = {0: set(), 1: set()}
+    for s, t in sentences:
+        said[t] |= {u.decode() for u in toxic.units(s.encode()) if 3 <= len(u) <= 12}
+    minus, plus = sorted(said[0])[:400], [u for u in ("idiot", "clown", "moron", "trash", "scum", "stupid", "pathetic") for u in (u, *toxic.variants(u))]
+    marks = toxic.Landmarks(["idiot", "clown", "stupid", "trash", "pathetic", *minus[::40]])
+    xp, xm = marks(plus), marks(minus)
+    top = np.full(len(plus), 4.0)
+    y, all_x, all_top = np.concatenate((np.ones(len(plus)), -np.ones(len(minus)))), np.concatenate((xp, xm)).astype(float), np.concatenate((top, np.full(len(minus), toxic.COST)))
+    want, objective = plain_svm(all_x, y, all_top)
+    w, alpha = toxic.svm(all_x, y, all_top, rounds=500, tolerance=1e-6)
+    assert alpha.sum() - (w * w).sum() / 2 == pytest.approx(objective, rel=1e-2)
+    direct = np.concatenate((all_x, np.ones((len(y), 1))), axis=1).T @ (want * y)
+    # by working sets, with a few rows to begin with and no slack: the same machine
+    ws = toxic.working_set_svm(xp, top, xm, rng.choice(len(minus), 5, replace=False), join=30, slack=1e-3)
+    margin = lambda v: all_x @ v[:-1] + v[-1]
+    for v in (w, ws):
+        assert np.abs(margin(v) - margin(direct)).mean() < 0.02 and ((margin(v) > 0) == (margin(direct) > 0)).mean() > 0.99
+
+
+def test_toxicity_margins_and_amounts_by_brute_force(spark):
+    d = pd.read_parquet(f"{SMALL}/documents.parquet").merge(pd.read_parquet(f"{SMALL}/labels.parquet"))
+    big = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"))
+    model = toxic.Model(list(big.text), list(big.toxic))
+    words = ["idiot", "idxiot", "id", "heather", "x" * 30, "blestupidheand"]
+    marks, scaled = model.marks.strings, {}
+    for u in words:
+        pieces = [u] if len(u) <= 24 else [u[a : a + 24] for a in range(0, len(u) - 12, 12)]
+        value = lambda p: sum(float(w) * (slow_kernel(p, m) / (slow_kernel(p, p) * slow_kernel(m, m)) ** 0.5) ** toxic.POWER for w, m in zip(model.weights, marks)) if len(p) >= toxic.ORDER else 0.0
+        scaled[u] = max(value(p) for p in pieces) + model.bias
+    assert np.allclose(model.margins(words), [scaled[u] for u in words], atol=2e-3)
+    # the amounts by the rule, from the margins of all units; filters of any size change nothing
+    own = [toxic.units(t.encode()) for t in d.text]
+    every = sorted({u for us in own for u in us})
+    margin = dict(zip(every, model.margins([u.decode() for u in every])))
+    amounts = [sum(margin[u] - model.floor for u in set(us) if margin[u] > model.floor) / (len(us) + 30) ** 0.5 for us in own]
+    xs, ys = zip(*model.curve)
+    want = np.interp(amounts, xs, ys)
+    df = spark.createDataFrame(d[["doc_id", "text"]])
+    for bits in (toxic.FILTER_BITS, 64):
+        got = by_id(toxic.predict(df, model, filter_bits=bits))
+        assert np.allclose([got[i].score for i in d.doc_id], want, atol=1e-4)
+
+
+# ----------------------------------------------- 10, edits and short documents
+def test_leaks_of_edited_passages(spark):
+    rng = np.random.default_rng(21)
+    word = lambda k: [f"w{i}" for i in rng.integers(0, 4000, k)]
+    items = [(k, " ".join(word(int(n)))) for k, n in enumerate(rng.integers(8, 160, 60))]
+    rows = []
+    for k, t in items:
+        for edits in (1, 1, 1, 2, 3):
+            w = t.split()
+            for at in rng.choice(len(w), min(edits, len(w)), replace=False).tolist():
+                w[at] = "other"
+            rows.append((len(rows), " ".join([*word(3), *w, *word(3)])))
+        rows.append((len(rows), " ".join(t.split()[: int(0.93 * len(t.split()))])))  # the document is shorter than the item
+        rows.append((len(rows), " ".join(t.split()[:-1])))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    texts, bench = dict(rows), dict(items)
+    for i, t in rows:  # the rule for a document shorter than an item: the whole document
+        w = t.split()
+        for k, item in items:
+            own, all_ = w, item.split()
+            if 5 <= len(own) < len(all_):
+                a, c = (collections.Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (own, all_))
+                if sum((a & c).values()) >= 0.8 * sum((a | c).values()) and k not in [q for p, q in want if p == i]:
+                    want[i, k] = None
+    got = {(r.doc_id, r.item_id) for r in decon.contaminated(d, b).collect()}
+    assert got <= {*want} and len(got) >= 0.98 * len(want) and len(want) > 150
+    assert all(len(texts[i].split()) for i, _ in got) and bench
