@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,21 +60,38 @@ def identity(rid: Column, retry: Column | None = None) -> Column:
     return text if retry is None else F.when(retry > 0, F.concat(text, F.lit("#retry"), retry.cast("string"))).otherwise(text)
 
 
-def draw_count(hashed: Column, histogram: list[tuple[int, int]]) -> Column:
-    """Children of one parent, by the histogram's weights; an empty one gives 0."""
+def whole(a: Column, b: int) -> Column:
+    """a divided by b without a remainder, in whole numbers of any size."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
+BINS = 1024
+
+
+def draw_count(parents: DataFrame, hashed: Column, histogram: list[tuple[int, int]], name: str) -> DataFrame:
+    """parents with a column `name`: the number of children, drawn by the histogram's weights; an empty histogram gives 0.
+
+    A draw meets the histogram by a range join: both sides are cut into at most BINS + 1 bins of the draws' range, which
+    is an equal join with a small side, and the bounds decide inside a bin. The side is the histogram, one row
+    for each different count and bin, so it's as large as the profile and not as the table.
+    """
     total = sum(w for _, w in histogram)
     if not total:
-        return F.lit(0).cast("long")
-    x, at, out = pick(hashed, total), 0, None
+        return parents.withColumn(name, F.lit(0).cast("long"))
+    width, at, rows = -(-total // BINS), 0, []
     for n, w in histogram:
+        rows += [(k, at, at + w, n) for k in range(at // width, (at + w - 1) // width + 1)] if w else []
         at += w
-        out = F.when(x < at, F.lit(n)) if out is None else out.when(x < at, F.lit(n))
-    return out.otherwise(F.lit(0)).cast("long")
+    side = parents.sparkSession.createDataFrame(rows, f"__bin long, __low long, __high long, `{name}` long")
+    drawn = parents.withColumn("__draw", pick(hashed, total)).withColumn("__bin", whole(F.col("__draw"), width))
+    met = drawn.join(F.broadcast(side) if len(rows) <= 1_000_000 else side, "__bin").where("__draw >= __low AND __draw < __high")
+    return met.drop("__bin", "__draw", "__low", "__high")
 
 
 def by_cardinality(parents: DataFrame, key: list[str], own: list[str], histogram: list[tuple[int, int]], seed: str, table: str, fk: str) -> DataFrame:
     """(RID, own columns): each parent draws its number of children; row indexes run on across parents in the order of their index."""
-    counted = parents.select(IDX, *[F.col(f"`{k}`").alias(o) for k, o in zip(key, own)], draw_count(h(seed, table, fk, F.col(IDX).cast("string"), "cardinality"), histogram).alias("__n"))
+    named = parents.select(IDX, *[F.col(f"`{k}`").alias(o) for k, o in zip(key, own)])
+    counted = draw_count(named, h(seed, table, fk, F.col(IDX).cast("string"), "cardinality"), histogram, "__n")
     children = counted.where("__n > 0").select(IDX, *own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__pos"))
     return dense_index(children, [IDX, "__pos"], RID).select(RID, *own)
 
@@ -133,18 +151,17 @@ class Generator:
         if not pins:
             keys = pool.frame.select(F.col(IDX).alias("__at"), *[F.col(f"`{r}`").alias(o) for o, r in new])
             return rows.withColumn("__at", spot).join(keys, "__at").drop("__at")
-        # rows of the same pin are numbered among themselves
-        named = pool.frame.select(*[F.col(f"`{r}`").alias(f"__p{i}") for i, (_, r) in enumerate(pins)], *[F.col(f"`{r}`").alias(f"__v{i}") for i, (_, r) in enumerate(new)])
-        pin_names = [f"__p{i}" for i in range(len(pins))]
-        within = Window.partitionBy(*pin_names).orderBy(*[f"__v{i}" for i in range(len(new))])
-        numbered = named.withColumn("__at", F.row_number().over(within) - 1)
-        sizes = named.groupBy(*pin_names).agg(F.count("*").alias("__size"))
+        # a dense index over (pin, key) and each pin's first index and size: no window sees a pin whole
+        pin_names, own_names = [f"__p{i}" for i in range(len(pins))], [f"__v{i}" for i in range(len(new))]
+        named = pool.frame.select(*[F.col(f"`{r}`").alias(n) for n, (_, r) in zip(pin_names, pins)], *[F.col(f"`{r}`").alias(n) for n, (_, r) in zip(own_names, new)])
+        numbered = settle(dense_index(named, pin_names + own_names, "__at"), "pinned")
+        sizes = numbered.groupBy(*pin_names).agg(F.count("*").alias("__size"), F.min("__at").alias("__first"))
         on = [F.col(f"`{o}`") == F.col(p) for (o, _), p in zip(pins, pin_names)]
-        sized = rows.join(sizes, on, "left").drop(*pin_names).withColumn("__want", F.when(F.col("__size") > 0, pick(x, F.col("__size"))))
+        sized = rows.join(sizes, on, "left").drop(*pin_names).withColumn("__want", F.when(F.col("__size") > 0, F.col("__first") + pick(x, F.col("__size"))))
         if not optional and sized.where("__size IS NULL").limit(1).count():
             raise SchemaError(f"{t.qualified}.{fk.name}: no row of {parent.qualified} agrees with {', '.join(o for o, _ in pins)}, which an earlier foreign key has set")
-        met = sized.join(numbered, [*on, F.col("__want") == F.col("__at")], "left")
-        return met.withColumns({o: F.col(f"__v{i}") for i, (o, _) in enumerate(new)}).drop("__size", "__want", "__at", *pin_names, *[f"__v{i}" for i in range(len(new))])
+        met = sized.join(numbered.select("__at", *own_names), F.col("__want") == F.col("__at"), "left")
+        return met.withColumns({o: F.col(n) for n, (o, _) in zip(own_names, new)}).drop("__size", "__first", "__want", "__at", *own_names)
 
     # -------------------------------------------------------------------- rows
     def own_values(self, rows: DataFrame, t: TableMeta, rid: Column, skip: set[str]) -> DataFrame:
@@ -204,38 +221,42 @@ class Generator:
             pools = [self.pool(fk) for fk in fks]
             if any(p is None or not p.size for p in pools):
                 continue
-            n, size = base.count(), math.prod(p.size for p in pools)
+            n, size = base.count(), min(math.prod(p.size for p in pools), 1 << 62)  # combinations beyond that aren't needed
             if n > size:
                 raise SchemaError(self.exhausted(t, [(name, cols)]))
             at = mixed_index(F.col(RID), n, size, self.config.seed, f"{t.qualified}{name}")
             for fk, p in zip(fks, pools):
                 self.spots[t.qualified, fk.name] = F.pmod(at, F.lit(p.size))
-                at = F.floor(at / p.size)
+                at = whole(at, p.size)
 
     def unique_rows(self, t: TableMeta, base: DataFrame, later: set[str], driven: ForeignKeyMeta | None) -> DataFrame:
-        """Rounds: a row that isn't the first of its key, by (retry, index), draws again. First rows of a round stay first, so it settles."""
+        """Rounds: of the rows that draw, those that are the first of their keys by index, and whose keys no earlier round
+        has, are settled; the others draw again. Only indexes and keys are kept from round to round, a
+        round costs as many rows as draw in it, and the other columns are made once, at the end. A null key never collides."""
         self.bijections(t, base, later, driven)
         made = {c for (q, k) in self.spots if q == t.qualified for fk in t.foreign_keys if fk.name == k for c in fk.columns}
         sets = [(n, cols) for n, cols in self.unique_sets(t, later) if not set(cols) <= made]
-        state = base
         if not sets:
-            return self.build(t, state, later, driven)
-        keep = [c for c in base.columns]
+            return self.build(t, base, later, driven)
+        keep, keys = list(base.columns), [f"__key{i}" for i in range(len(sets))]
+        key = lambda cols: F.when(reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in cols]), F.struct(*[F.col(f"`{c}`") for c in cols]))
+        state, held = base, None
         for _ in range(RETRIES + 1):
             rows = self.build(t, state, later, driven)
-            lost = F.lit(False)
-            for i, (_, cols) in enumerate(sets):
-                whole = F.lit(True)
-                for c in cols:
-                    whole = whole & F.col(f"`{c}`").isNotNull()
-                rank = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in cols]).orderBy(RETRY, RID))
-                rows = rows.withColumn(f"__rank{i}", rank)
-                lost = lost | (whole & (F.col(f"__rank{i}") > 1))
-            # only indexes and retries are kept from round to round; the other columns are made once, at the end
-            marked = settle(rows.select(*keep, lost.alias("__lost")), "unique")
-            if not marked.where("__lost").limit(1).count():
-                return self.build(t, marked.drop("__lost"), later, driven)
-            state = marked.select(*[F.col(c) if c != RETRY else (F.col(RETRY) + F.col("__lost").cast("int")).alias(RETRY) for c in keep])
+            drawn = settle(rows.select(*keep, *[key(cols).alias(k) for k, (_, cols) in zip(keys, sets)]), "unique")
+            won = drawn
+            for k in keys:
+                # the first of each key: a map-side minimum, so a key that many rows draw doesn't gather them
+                first = drawn.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(RID).alias(RID))
+                if held is not None:
+                    first = first.join(held.select(F.col(k).alias("__old")), F.col(k) == F.col("__old"), "left_anti")
+                won = won.join(drawn.where(F.col(k).isNull()).select(RID).union(first.select(RID)), RID, "left_semi")
+            won = settle(won.select(*keep, *keys), "unique")
+            held = won if held is None else held.union(won)
+            if won.count() == drawn.count():
+                return self.build(t, held.select(*keep), later, driven)
+            lost = drawn.select(*keep).join(won.select(RID), RID, "left_anti")
+            state = lost.select(*[F.col(c) if c != RETRY else (F.col(RETRY) + 1).alias(RETRY) for c in keep])
         raise SchemaError(self.exhausted(t, sets))
 
     def exhausted(self, t: TableMeta, sets: list[tuple[str, list[str]]]) -> str:
@@ -300,9 +321,3 @@ def mixed_index(rid: Column, n: int, size: int, seed: str, name: str) -> Column:
     most = max(1, (1 << 62) // max(n, 1))
     step = next((s for s in range(min(size // 2 + 1, most), 0, -1) if math.gcd(s, size) == 1), 1)
     return F.pmod(rid * step + u(h(seed, name, "pairs", F.lit("0"))) % size, F.lit(size))
-
-
-def unique_pairs(rows: DataFrame, rid: str, n_a: int, n_b: int, seed: str, name: str) -> DataFrame:
-    """rows with __a and __b: a different pair of indexes for each row, by construction: a fixed bijection of the product of both index spaces."""
-    at = mixed_index(F.col(rid), n_a * n_b, n_a * n_b, seed, name)
-    return rows.withColumns({"__a": F.floor(at / n_b).cast("long"), "__b": F.pmod(at, F.lit(n_b))})
