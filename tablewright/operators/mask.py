@@ -17,6 +17,7 @@ from .classify import sensitivity
 
 JSON = {"json", "jsonb"}
 HASH_LENGTH = 31  # masked_ and 24 hex digits
+APART = 17  # a dash and 16 hex digits of the row's hash, which keep a unique column's fakes apart
 #: Literals that redact a column which takes no null: fixed values.
 _ZERO = {"bool": False, "int2": 0, "int4": 0, "int8": 0, "numeric": 0, "float4": 0.0, "float8": 0.0}
 _TEXT_REDACTABLE = generators.TEXT_TYPES
@@ -65,6 +66,16 @@ def validate(schema: SchemaMeta, config: Config) -> None:
                     raise SchemaError(f"{at}: a hash is {HASH_LENGTH} characters long, the column holds {c.max_length}")
 
 
+    for t in schema.tables:
+        for c in t.columns:
+            if strategy(t, c, config) == "fake" and any(c.name in u.columns for u in t.unique):
+                at = f"{t.qualified}.{c.name}"
+                if c.text_like and c.max_length is not None and c.max_length <= APART:
+                    raise SchemaError(f"{at}: fakes of a unique column end in {APART} characters of a hash, the column holds {c.max_length}")
+                if not c.text_like and c.type != "uuid" and any(u.columns == [c.name] for u in t.unique):
+                    raise SchemaError(f"{at}: fakes of type {c.type} could collide in a unique column")
+
+
 def hashed(column: Column, seed: str, kind: T.DataType | None = None) -> Column:
     """Equal values have equal hashes in any table and column, so masked columns still join."""
     return F.concat(F.lit("masked_"), F.substring(F.sha2(F.concat(F.lit(seed + NUL), canon(column, kind)), 256), 1, 24))
@@ -101,6 +112,7 @@ def masked(df: DataFrame, t: TableMeta, c: ColumnMeta, config: Config, rid: Colu
         new = generators.value(c, config.seed, t.qualified, rid, own.generator)
         if any(c.name in u.columns for u in t.unique) and c.text_like:
             # fakes draw with replacement; a piece of the row's own hash keeps a unique column unique
+            new = F.left(new, F.lit(c.max_length - APART)) if c.max_length is not None else new
             new = F.concat(new, F.lit("-"), F.substring(h(config.seed, t.qualified, c.name, rid, "unique"), 1, 16))
         new = new.cast(kind)
     return F.when(col.isNull(), F.lit(None).cast(kind)).otherwise(new)
@@ -114,20 +126,43 @@ def mask_table(df: DataFrame, t: TableMeta, config: Config) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ JSON
+class _Number(str):
+    """A number as a document spells it."""
+
+    __slots__ = ()
+
+
 def _paths_udf(paths: dict[str, str], seed: str, where: str):
     """The one pandas function, for documents of any shape. Order of keys and spelling of numbers elsewhere in the document stay."""
     import hashlib
     import json
 
+    def plain(x):
+        """x with numbers as numbers, so that a hash doesn't depend on their spelling."""
+        if isinstance(x, _Number):
+            return json.loads(x)
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
     def text_of(x) -> str:
-        return json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True, default=str)
+        return json.dumps(plain(x), separators=(",", ":"), ensure_ascii=False, sort_keys=True, default=str)
+
+    def written(x) -> str:
+        if isinstance(x, _Number):
+            return str(x)
+        if isinstance(x, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(v)}" for k, v in x.items()) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(map(written, x)) + "]"
+        return json.dumps(x, ensure_ascii=False)
 
     def fake(x, rid: str, path: str):
         d = hashlib.sha256(NUL.join([seed, where, path, rid, ""]).encode()).hexdigest()
         n = int(d[:15], 16)
         if isinstance(x, bool):
             return n % 2 == 1
-        if isinstance(x, (int, float)):
+        if isinstance(x, _Number):
             return n % 1_000_000
         if not isinstance(x, str):
             return None
@@ -153,7 +188,7 @@ def _paths_udf(paths: dict[str, str], seed: str, where: str):
         if text is None:
             return None
         try:
-            doc = json.loads(text)
+            doc = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
         except ValueError:
             return text
         for path, way in ordered:
@@ -163,7 +198,7 @@ def _paths_udf(paths: dict[str, str], seed: str, where: str):
                 at = at.get(part) if isinstance(at, dict) else None
             if isinstance(at, dict) and last in at:
                 at[last] = change(at[last], way, rid, path)
-        return json.dumps(doc, separators=(",", ":"), ensure_ascii=False)
+        return written(doc)
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series, rids: pd.Series) -> pd.Series:
@@ -218,5 +253,10 @@ def json_keys(df: DataFrame, column: str, depth: int = 2, sample: int = 200) ->
     return sorted(found)
 
 
+def sensitive_keys(df: DataFrame, column: str, sample: int = 200) -> list[tuple[str, str]]:
+    """(path, kind) of the keys whose names are sensitive, at the top and on two levels below, in up to `sample` documents; values aren't kept."""
+    return [(path, kind) for path in json_keys(df, column, 3, sample) if (kind := sensitivity(path.rpartition(".")[2]))]
+
+
 HASH_PATTERN = re.compile(r"^masked_[0-9a-f]{24}$")
-__all__ = ["ColumnConfig", "hashed", "json_keys", "mask_flat_json", "mask_json", "mask_table", "masked", "redacted", "strategy", "validate"]
+__all__ = ["ColumnConfig", "hashed", "json_keys", "mask_flat_json", "mask_json", "mask_table", "masked", "redacted", "sensitive_keys", "strategy", "validate"]

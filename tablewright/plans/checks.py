@@ -12,7 +12,7 @@ from .meta import SchemaMeta, TableMeta
 
 _NAME = r'"?(?P<col>[A-Za-z_][\w$]*)"?'
 _CAST = r"(?:::[\w .\[\]\"]+(?:\(\d+\))?)?"
-_BOUND = re.compile(rf"^\(?{_NAME}\)?{_CAST}\s*(?P<op>>=|<=|>|<)\s*\(?'?(?P<n>-?\d+)'?\)?{_CAST}$")
+_BOUND = re.compile(rf"^\(?{_NAME}\)?{_CAST}\s*(?P<op>>=|<=|=|>|<)\s*\(?'?(?P<n>-?\d+)'?\)?{_CAST}$")
 _ANY = re.compile(rf"^\(*{_NAME}\)?{_CAST}\)*\s*=\s*ANY\s*\(+(?:ARRAY)?\[(?P<list>.*)\][^\]]*\)+$", re.S | re.I)
 _IN = re.compile(rf"^\(*{_NAME}\)?{_CAST}\s+IN\s*\((?P<list>.*)\)$", re.S | re.I)
 _EQUAL = re.compile(rf"^\(*{_NAME}\)?{_CAST}\s*=\s*'(?P<v>(?:[^']|'')*)'{_CAST}$")
@@ -63,11 +63,13 @@ def alternatives(text: str) -> list[str]:
 
 
 def integer_bounds(text: str) -> tuple[str, int | None, int | None] | None:
-    """(column, least, greatest) of a single comparison with an integer."""
+    """(column, least, greatest) of a single comparison with an integer; an equality has both. A quoted number is one only by its cast to a number."""
     m = _BOUND.match(condition(text))
     if not m:
         return None
     n, op = int(m["n"]), m["op"]
+    if op == "=":
+        return None if "'" in text and not re.search(r"'::(?:smallint|integer|bigint|numeric|int[248])", text) else (m["col"], n, n)
     return (m["col"], n + (op == ">"), None) if op[0] == ">" else (m["col"], None, n - (op == "<"))
 
 

@@ -69,19 +69,26 @@ def _brackets(text: str, at: int) -> tuple[str, int]:
     return text[at + 1 :], len(text)
 
 
+#: Quoted text, quoted names, dollar-quoted text and comments, whichever begins first.
+_ASIDE = re.compile(r"""[eE]'(?:[^'\\]|\\.|'')*'|'(?:[^']|'')*'|"[^"]*"|\$(?P<tag>\w*)\$.*?\$(?P=tag)\$|--[^\n]*|/\*.*?\*/""", re.S)
+
+
 def statements(sql: str) -> list[str]:
-    sql = re.sub(r"--[^\n]*", "", sql)
-    sql = re.sub(r"/\*.*?\*/", "", sql, flags=re.S)
-    sql = re.sub(r"\$(\w*)\$.*?\$\1\$", "''", sql, flags=re.S)
-    return _split(sql, ";")
+    """Statements without comments; dollar-quoted text is emptied, other quoted text stays."""
+
+    def keep(m: re.Match) -> str:
+        return "" if m[0].startswith(("--", "/*")) else "''" if m[0].startswith("$") else m[0]
+
+    return _split(_ASIDE.sub(keep, sql), ";")
 
 
 class _Reader:
     def __init__(self) -> None:
         self.tables: dict[str, TableMeta] = {}
-        self.enums: dict[str, list[str]] = {}
-        self.domains: dict[str, tuple[ColumnMeta, list[str], bool]] = {}
-        self.composites: set[str] = set()
+        # types by schema and name
+        self.enums: dict[tuple[str, str], list[str]] = {}
+        self.domains: dict[tuple[str, str], tuple[ColumnMeta, list[str], bool]] = {}
+        self.composites: set[tuple[str, str]] = set()
 
     def kind(self, text: str, column: ColumnMeta) -> None:
         text = text.strip()
@@ -95,6 +102,7 @@ class _Reader:
         base, args = (f"{m[1]} {m[3]}".strip(), m[2]) if m else (text, "")
         plain = re.sub(r"\s+", " ", base.strip().lower().replace('"', ""))
         short = _qualified(base)[1] if "." in base else plain
+        own = _qualified(base) if base.strip() else ("public", "")
         numbers = [int(x) for x in re.findall(r"\d+", args)]
         if short in _SERIAL:
             column.type, column.serial, column.nullable = _SERIAL[short], True, False
@@ -104,14 +112,14 @@ class _Reader:
                 column.max_length = numbers[0] if numbers else (1 if column.type == "bpchar" else None)
             if column.type == "numeric" and numbers:
                 column.precision, column.scale = numbers[0], numbers[1] if len(numbers) > 1 else 0
-        elif short in self.enums:
-            column.type, column.enum = "enum", self.enums[short]
-        elif short in self.domains:
-            of, _, nullable = self.domains[short]
+        elif own in self.enums:
+            column.type, column.enum = "enum", self.enums[own]
+        elif own in self.domains:
+            of, _, nullable = self.domains[own]
             column.type, column.domain_of = "domain", of.type
             column.max_length, column.precision, column.scale, column.enum = of.max_length, of.precision, of.scale, of.enum
             column.nullable &= nullable
-        elif short in self.composites:
+        elif own in self.composites:
             column.type, column.composite = "composite", True
         else:
             column.type = short
@@ -177,9 +185,9 @@ class _Reader:
             table.checks.append(CheckMeta(f"{table.name}_{c.name}_check", f"CHECK ({_brackets(tail, k.end() - 1)[0]})"))
         if re.search(r"\bREFERENCES\b", tail, re.I):
             self.reference(tail, [c.name], table, None)
-        kind = kind.strip().lower().replace('"', "").rpartition(".")[2]
-        if kind in self.domains:
-            for text in self.domains[kind][1]:
+        own = _qualified(re.sub(r"\(.*$", "", kind, flags=re.S)) if re.search(r"[\w$]", kind) else None
+        if own in self.domains:
+            for text in self.domains[own][1]:
                 table.checks.append(CheckMeta(f"{table.name}_{c.name}_domain", re.sub(r"\bVALUE\b", c.name, text)))
 
     def read(self, text: str) -> None:
@@ -187,16 +195,16 @@ class _Reader:
             return re.match(pattern, text, re.I | re.S)
 
         if m := match(r'^CREATE\s+TYPE\s+([\w$".]+)\s+AS\s+ENUM\s*\('):
-            self.enums[_qualified(m[1])[1]] = [x.strip()[1:-1].replace("''", "'") for x in _split(_brackets(text, m.end() - 1)[0])]
+            self.enums[_qualified(m[1])] = [x.strip()[1:-1].replace("''", "'") for x in _split(_brackets(text, m.end() - 1)[0])]
         elif m := match(r'^CREATE\s+TYPE\s+([\w$".]+)\s+AS\s*\('):
-            self.composites.add(_qualified(m[1])[1])
+            self.composites.add(_qualified(m[1]))
         elif m := match(r'^CREATE\s+DOMAIN\s+([\w$".]+)\s+(?:AS\s+)?(.*)$'):
             rest = m[2]
             cut = re.search(rf"\s+{_WORDS}", rest, re.I)
             of = ColumnMeta("value")
             self.kind(rest[: cut.start()] if cut else rest, of)
             checks = [f"CHECK ({_brackets(rest, k.end() - 1)[0]})" for k in re.finditer(r"\bCHECK\s*\(", rest, re.I)]
-            self.domains[_qualified(m[1])[1]] = (of, checks, not re.search(r"NOT\s+NULL", rest, re.I))
+            self.domains[_qualified(m[1])] = (of, checks, not re.search(r"NOT\s+NULL", rest, re.I))
         elif m := match(r'^CREATE\s+(?:UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w$".]+)\s*\('):
             schema, name = _qualified(m[1])
             body, end = _brackets(text, m.end() - 1)

@@ -7,6 +7,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.meta import SchemaError, SchemaMeta, TableMeta
 
@@ -15,7 +16,7 @@ class FileSystem:
     """Small files and renames on any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -34,16 +35,20 @@ class FileSystem:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Through a new file and a rename, so that a reader sees the old text or the new one."""
+        """Through a new file and one overwriting rename, so that a reader sees the old text or the new one, and a crash leaves one of them."""
         tmp, fs = self._at(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
         p, _ = self._at(path)
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(tmp, p):
-            raise OSError(f"can't write {path}")
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
+
+    def size(self, path: str) -> int:
+        p, fs = self._at(path)
+        return fs.getContentSummary(p).getLength()
 
     def rename(self, a: str, b: str) -> None:
         p, fs = self._at(a)
@@ -56,12 +61,14 @@ class FileSystem:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """A folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and everything runs in one place."""
     import tempfile
 
     for key in ("spark.checkpoint.dir", "tablewright.scratch.dir"):
         if folder := spark.conf.get(key, None):
             return folder
+    if not re.match(r"local(\[[^-,]*(,\d+)?\])?$", spark.sparkContext.master):
+        raise SchemaError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="tablewright-")
     spark.conf.set("tablewright.scratch.dir", folder)
     return folder
@@ -150,7 +157,7 @@ class JdbcSource(Source):
         return re.sub(r"(password=)[^&;]*", r"\1***", re.sub(r"(//[^:/@]+):[^@]*@", r"\1:***@", self.url), flags=re.I)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options).load()
+        return self.spark.read.format("jdbc").options(url=self.url, dbtable=quoted(name), **self.options).load()
 
     def tables(self) -> list[str]:
         query = "(SELECT n.nspname || '.' || c.relname AS t FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'p') AND NOT c.relispartition AND n.nspname NOT IN ('pg_catalog', 'information_schema')) q"
@@ -162,17 +169,69 @@ def write_parquet(frames: dict[str, DataFrame], folder: str, mode: str = "errori
         df.write.mode(mode).options(**options).parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A table's name with its parts quoted; a bracketed query stays."""
+    return name if name.startswith("(") else ".".join('"' + part.replace('"', '""') + '"' for part in name.split("."))
+
+
+def jdbc_url(url: str) -> str:
+    """postgres://user:pass@host/db as JDBC has it; a JDBC URL stays."""
+    if url.startswith("jdbc:"):
+        return url
+    m = re.match(r"^postgres(?:ql)?://(?:(?P<user>[^:@/]*)(?::(?P<password>[^@]*))?@)?(?P<rest>.*)$", url)
+    if not m:
+        raise SchemaError(f"not a database URL: {url.partition('://')[0]}")
+    own = [f"{k}={m[k]}" for k in ("user", "password") if m[k]]
+    return f"jdbc:postgresql://{m['rest']}" + ("&" if "?" in m["rest"] else "?") * bool(own) + "&".join(own)
+
+
+def is_url(place: str | None) -> bool:
+    return bool(place) and place.startswith(("jdbc:", "postgres://", "postgresql://"))
+
+
+def execute(spark: SparkSession, url: str, statements: list[str]) -> None:
+    """SQL statements in one transaction, by the JVM's driver."""
+    conn = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(jdbc_url(url))
+    try:
+        conn.setAutoCommit(False)
+        for text in statements:
+            s = conn.createStatement()
+            s.execute(text)
+            s.close()
+        conn.commit()
+    finally:
+        conn.close()
+
+
 def write_jdbc(frames: dict[str, DataFrame], url: str, order: list[str], batchsize: int = 5000, **options: str) -> None:
     """In plan order, parents first."""
     for name in order:
         if name in frames:
-            frames[name].write.format("jdbc").mode("append").options(url=url, dbtable=name, batchsize=str(batchsize), **options).save()
+            frames[name].write.format("jdbc").mode("append").options(url=jdbc_url(url), dbtable=quoted(name), batchsize=str(batchsize), **options).save()
+
+
+def update_jdbc(df: DataFrame, url: str, table: str, key: list[str], columns: list[str], **options: str) -> None:
+    """Sets `columns` of the table's rows to what df has for their key: df goes to a table beside it, then one statement in a transaction takes the values over."""
+    spark, side = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
+    names = [*key, *columns]
+    df.select(*[F.col(f"`{c}`") for c in names]).write.format("jdbc").options(url=jdbc_url(url), dbtable=quoted(side), **options).save()
+    at = lambda t, c: f'{t}."{c}"'
+    same = " AND ".join(f"{at('s', c)} = {at(quoted(table), c)}" for c in key)
+    sets = ", ".join(f'"{c}" = (SELECT {at("s", c)} FROM {quoted(side)} s WHERE {same})' for c in columns)
+    try:
+        execute(spark, url, [f"UPDATE {quoted(table)} SET {sets} WHERE EXISTS (SELECT 1 FROM {quoted(side)} s WHERE {same})"])
+    finally:
+        execute(spark, url, [f"DROP TABLE {quoted(side)}"])
+
+
+def sequence_statements(values: dict[str, dict[str, int]]) -> list[str]:
+    """SQL that lets each sequence go on behind the rows written; values as `next_values` gives them."""
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    return [f"SELECT setval(pg_get_serial_sequence({lit(quoted(t))}, {lit(c)}), {n}, false)" for t, own in sorted(values.items()) for c, n in sorted(own.items())]
 
 
 def write_copy_text(df: DataFrame, path: str) -> None:
     """Text that COPY ... FROM reads: tabs, \\N for null, backslash escapes."""
-    from pyspark.sql import functions as F
-
     def field(c):
         x = F.col(f"`{c}`").cast("string")
         for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
@@ -192,8 +251,6 @@ def load_schema(spark: SparkSession, path: str) -> SchemaMeta:
 
 def next_values(frames: dict[str, DataFrame], schema: SchemaMeta) -> str:
     """JSON of the value with which each sequence goes on after the rows written."""
-    from pyspark.sql import functions as F
-
     out = {}
     for name, df in sorted(frames.items()):
         cols = [c.name for c in schema[name].columns if c.sequence_backed and c.name in df.columns]

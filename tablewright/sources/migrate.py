@@ -30,6 +30,7 @@ TRANSFORMERS: dict[str, tuple[str, str | None, bool]] = {
     "transformFullNameConfig": ("fake", "person_name", True),
     "generateBoolConfig": ("fake", "bool", True),
     "generateUuidConfig": ("fake", "uuid", True),
+    "transformUuidConfig": ("fake", "uuid", True),
     "generateInt64Config": ("fake", "int8_range", True),
     "transformInt64Config": ("fake", "int8_range", True),
     "generateFloat64Config": ("fake", "float8", True),
