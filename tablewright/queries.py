@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import generators as G
-from .functions.hashing import NUL, Sql, h, pick, row_identity, uniform01
+from .functions.hashing import Sql, h, row_identity, uniform01
 from .operators import classify, clone, constraints, generate, mask, profile
-from .operators.subset import matching, subset
+from .operators.subset import parse_root, subset
 from .plans import checks, graph
-from .plans.config import ColumnConfig, Config, TableConfig
-from .plans.meta import ColumnMeta, ForeignKeyMeta, SchemaMeta, TableMeta, UniqueMeta, testdata_schema
-from .sources import migrate
-from .sources.io import FrameSource, ParquetSource, Source, scratch
+from .plans.config import ColumnConfig, Config, TableConfig, rows_for, validate_hybrid
+from .plans.ddl import parse_ddl
+from .plans.meta import ColumnMeta, ForeignKeyMeta, SchemaError, SchemaMeta, TableMeta, UniqueMeta, testdata_schema
+from .sources import catalog, migrate
+from .sources.io import FrameSource, JdbcSource, Source, jdbc_url, next_values, scratch, sequence_statements, write_copy_text
 
 SEED = "s"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,16 +98,6 @@ for _name, _parent, _ref, _child, _own in [("orders_by_customer", "customer", "c
 _EDGES = [(c.name, fk.columns[0], p.name, fk.ref_columns[0]) for c, fk, p in testdata_schema().edges()]
 
 
-@query("fk_orphans", " UNION ALL ".join(f"SELECT '{c}' AS child, '{o}' AS column_name, count(*) AS orphans FROM {c} WHERE {o} IS NOT NULL AND {o} % 7 <> 3 AND {o} NOT IN (SELECT {r} FROM {p} WHERE {r} % 5 <> 1)" for c, o, p, r in _EDGES))
-def _(spark, sf_dir):
-    out = None
-    for c, o, p, r in _EDGES:  # parents are thinned, so that there is something to find
-        fk = ForeignKeyMeta("fk", [o], p, [r])
-        one = constraints.orphans(_t(spark, sf_dir, c).where(F.col(o) % 7 != 3), fk, _t(spark, sf_dir, p).where(F.col(r) % 5 != 1)).agg(F.count("*").alias("orphans")).select(F.lit(c).alias("child"), F.lit(o).alias("column_name"), "orphans")
-        out = one if out is None else out.union(one)
-    return out
-
-
 @query("fk_orphans_whole", " UNION ALL ".join(f"SELECT '{c}' AS child, '{o}' AS column_name, count(*) AS orphans FROM (SELECT CASE WHEN {o} % 11 = 0 THEN -1 - {o} ELSE {o} END AS k FROM {c}) WHERE k IS NOT NULL AND k NOT IN (SELECT {r} FROM {p})" for c, o, p, r in _EDGES))
 def _(spark, sf_dir):
     """All child rows against all parents; a derived key makes the orphans."""
@@ -410,16 +401,6 @@ def _(spark, sf_dir):
     return subset(_source(spark, sf_dir), schema, "public.part WHERE p_partkey = 7", None)["public.orders"].select("o_orderkey")
 
 
-_EMP = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS boss FROM part WHERE p_partkey < 400"
-
-
-@query("subset_self_reference", f"WITH RECURSIVE emp AS ({_EMP}), down AS (SELECT id, boss FROM emp WHERE id = 5 UNION SELECT e.id, e.boss FROM emp e JOIN down d ON e.boss = d.id), up AS (SELECT id, boss FROM down UNION SELECT e.id, e.boss FROM emp e JOIN up u ON u.boss = e.id) SELECT id, boss FROM up")
-def _(spark, sf_dir):
-    emp = _t(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).cast("long").alias("boss"))
-    t = TableMeta("emp", columns=[ColumnMeta("id", "int8", False), ColumnMeta("boss", "int8")], primary_key=["id"], foreign_keys=[ForeignKeyMeta("emp_boss_fkey", ["boss"], "public.emp", ["id"])])
-    return subset(FrameSource({"public.emp": emp}), SchemaMeta([t]), "emp WHERE id = 5", None)["public.emp"]
-
-
 _EMP_WHOLE = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS boss FROM part"
 
 
@@ -475,20 +456,26 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ generation
 N = 2000
+#: As many rows as there are orders, in SQL.
+_ROWS = "range((SELECT count(*) FROM orders))"
+
+
+def _count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return _t(spark, sf_dir, name).count()
 
 
 def _gen(kind: str, column: ColumnMeta | None = None, override: str | None = None, cast: str | None = None):
     def run(spark, sf_dir):
         c = column or ColumnMeta("v", kind)
         made = G.value(c, SEED, "t", F.col("id").cast("string"), override)
-        return spark.range(N).select("id", (made.cast(cast) if cast else made).alias("v"))
+        return spark.range(_count(spark, sf_dir, "orders")).select("id", (made.cast(cast) if cast else made).alias("v"))
 
     return run
 
 
 def _gen_sql(expression: str) -> str:
     x = Sql.h(SEED, "t", "v", "CAST(range AS VARCHAR)")
-    return f"SELECT range AS id, {expression} AS v FROM (SELECT range, {x} AS x FROM range({N}))"
+    return f"SELECT range AS id, {expression} AS v FROM (SELECT range, {x} AS x FROM {_ROWS})"
 
 
 def _p(n, draw: int = 0, x: str = "x") -> str:
@@ -541,8 +528,8 @@ query("gen_allowed_values", _gen_sql(f"(['a', 'c'])[{_p(2)} + 1]"))(_gen("text",
 query("gen_like_prefix", _gen_sql("'enc:v2:' || substr(x, 1, 6)"))(_gen("text", ColumnMeta("v", "text", check_like_prefix="enc:v2:")))
 query("gen_null_escape", _gen_sql("CAST(NULL AS VARCHAR)"))(_gen("text", ColumnMeta("v", "text", check_null_escape=True), cast="string"))
 query("gen_truncate", _gen_sql(f"left({_SENTENCE}, 9)"))(_gen("text", ColumnMeta("v", "varchar", max_length=9)))
-query("gen_null_fraction", f"SELECT range AS id, CASE WHEN {Sql.u(Sql.h(SEED, 't', 'v', 'CAST(range AS VARCHAR)', 'null'))} / CAST(1152921504606846976 AS DOUBLE) >= 0.3 THEN {_p(1_000_000_000, 0, Sql.h(SEED, 't', 'v', 'CAST(range AS VARCHAR)'))} END AS v FROM range({N})")(
-    lambda spark, sf_dir: spark.range(N).select("id", F.when(uniform01(h(SEED, "t", "v", F.col("id").cast("string"), "null")) >= 0.3, G.value(ColumnMeta("v", "int8"), SEED, "t", F.col("id").cast("string"))).alias("v"))
+query("gen_null_fraction", f"SELECT range AS id, CASE WHEN {Sql.u(Sql.h(SEED, 't', 'v', 'CAST(range AS VARCHAR)', 'null'))} / CAST(1152921504606846976 AS DOUBLE) >= 0.3 THEN {_p(1_000_000_000, 0, Sql.h(SEED, 't', 'v', 'CAST(range AS VARCHAR)'))} END AS v FROM {_ROWS}")(
+    lambda spark, sf_dir: spark.range(_count(spark, sf_dir, "orders")).select("id", F.when(uniform01(h(SEED, "t", "v", F.col("id").cast("string"), "null")) >= 0.3, G.value(ColumnMeta("v", "int8"), SEED, "t", F.col("id").cast("string"))).alias("v"))
 )
 
 
@@ -562,13 +549,10 @@ def _at(table: str, key: str, n, rid: str = "CAST(range AS VARCHAR)") -> str:
     return Sql.pick(_hs(table, key, rid), n)
 
 
-@query("gen_fk_uniform", f"SELECT range + 1 AS id, {_at('child', 'fk', 300)} + 1 AS parent_id FROM range({N})")
+@query("gen_fk_uniform", f"SELECT range + 1 AS id, {_at('child', 'fk', '(SELECT count(*) FROM customer)')} + 1 AS parent_id FROM {_ROWS}")
 def _(spark, sf_dir):
     schema = SchemaMeta([_table("parent", [_serial()], ["id"]), _table("child", [_serial(), ColumnMeta("parent_id", "int8", False)], ["id"], [ForeignKeyMeta("fk", ["parent_id"], "public.parent", ["id"])])])
-    return generate.generate(spark, schema, _rows(parent=300, child=N))["public.child"]
-
-
-_TUPLES = "SELECT p_partkey % 40 AS a, p_partkey // 40 AS b FROM part WHERE p_partkey < 200"
+    return generate.generate(spark, schema, _rows(parent=_count(spark, sf_dir, "customer"), child=_count(spark, sf_dir, "orders")))["public.child"]
 
 
 def _given(spark, sf_dir, table: TableMeta, keys: DataFrame, parent: str = "public.pair") -> DataFrame:
@@ -576,22 +560,6 @@ def _given(spark, sf_dir, table: TableMeta, keys: DataFrame, parent: str = "publ
     return gen.run({"public.child"})["public.child"]
 
 
-def _tuples(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "part").where("p_partkey < 200").select((F.col("p_partkey") % 40).alias("a"), F.floor(F.col("p_partkey") / 40).alias("b"))
-
-
-@query("gen_fk_composite", f"SELECT range + 1 AS id, a, b FROM (SELECT range, {_at('child', 'fk', 200)} AS spot FROM range({N})) JOIN (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS idx FROM ({_TUPLES})) ON spot = idx")
-def _(spark, sf_dir):
-    t = _table("child", [_serial(), ColumnMeta("a", "int8", False), ColumnMeta("b", "int8", False)], ["id"], [ForeignKeyMeta("fk", ["a", "b"], "public.pair", ["a", "b"])])
-    return _given(spark, sf_dir, t, _tuples(spark, sf_dir))
-
-
-@query("gen_fk_pinned", f"WITH pairs AS ({_TUPLES}), one AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS idx FROM pairs), inner_ AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS idx, count(*) OVER (PARTITION BY a) AS n FROM pairs), c AS (SELECT range, a, b FROM (SELECT range, {_at('child', 'fk', 200)} AS spot FROM range({N})) JOIN one ON spot = idx) SELECT c.range + 1 AS id, c.a, c.b, inner_.b AS b2 FROM c JOIN inner_ ON inner_.a = c.a AND inner_.idx = {Sql.pick(_hs('child', 'fk2', 'CAST(c.range AS VARCHAR)'), 'inner_.n')}")
-def _(spark, sf_dir):
-    t = _table("child", [_serial(), *[ColumnMeta(c, "int8", False) for c in ("a", "b", "b2")]], ["id"], [ForeignKeyMeta("fk", ["a", "b"], "public.pair", ["a", "b"]), ForeignKeyMeta("fk2", ["a", "b2"], "public.pair", ["a", "b"])])
-    return _given(spark, sf_dir, t, _tuples(spark, sf_dir))
-
-
 _TUPLES_WHOLE = "SELECT p_partkey % 40 AS a, p_partkey // 40 AS b FROM part"
 _PARTS = "(SELECT count(*) FROM part)"
 
@@ -615,17 +583,17 @@ def _(spark, sf_dir):
 _HIST = [(0, 3), (1, 5), (4, 2)]
 
 
-@query("gen_cardinality", f"WITH p AS (SELECT range AS idx, {Sql.pick(_hs('child', 'fk', 'CAST(range AS VARCHAR)', 'cardinality'), 10)} AS u FROM range(200)), n AS (SELECT idx, CASE WHEN u < 3 THEN 0 WHEN u < 8 THEN 1 ELSE 4 END AS n FROM p), rows_ AS (SELECT idx, unnest(range(1, n + 1)) AS pos FROM n) SELECT row_number() OVER (ORDER BY idx, pos) AS id, idx + 1 AS parent_id FROM rows_")
+@query("gen_cardinality", f"WITH p AS (SELECT range AS idx, {Sql.pick(_hs('child', 'fk', 'CAST(range AS VARCHAR)', 'cardinality'), 10)} AS u FROM range((SELECT count(*) FROM customer))), n AS (SELECT idx, CASE WHEN u < 3 THEN 0 WHEN u < 8 THEN 1 ELSE 4 END AS n FROM p), rows_ AS (SELECT idx, unnest(range(1, n + 1)) AS pos FROM n) SELECT row_number() OVER (ORDER BY idx, pos) AS id, idx + 1 AS parent_id FROM rows_")
 def _(spark, sf_dir):
     schema = SchemaMeta([_table("parent", [_serial()], ["id"]), _table("child", [_serial(), ColumnMeta("parent_id", "int8", False)], ["id"], [ForeignKeyMeta("fk", ["parent_id"], "public.parent", ["id"])])])
     shape = profile.Profile(children={"public.child": {"fk": _HIST}})
-    return generate.generate(spark, schema, _rows(parent=200), shape)["public.child"]
+    return generate.generate(spark, schema, _rows(parent=_count(spark, sf_dir, "customer")), shape)["public.child"]
 
 
-@query("gen_self_reference", f"SELECT range + 1 AS id, {Sql.pick(_hs('emp', 'fk', 'CAST(range AS VARCHAR)'), '(range + 1)')} + 1 AS boss FROM range({N})")
+@query("gen_self_reference", f"SELECT range + 1 AS id, {Sql.pick(_hs('emp', 'fk', 'CAST(range AS VARCHAR)'), '(range + 1)')} + 1 AS boss FROM {_ROWS}")
 def _(spark, sf_dir):
     schema = SchemaMeta([_table("emp", [_serial(), ColumnMeta("boss", "int8", False)], ["id"], [ForeignKeyMeta("fk", ["boss"], "public.emp", ["id"])])])
-    return generate.generate(spark, schema, _rows(emp=N))["public.emp"]
+    return generate.generate(spark, schema, _rows(emp=_count(spark, sf_dir, "orders")))["public.emp"]
 
 
 def _cycle(deferrable: bool) -> SchemaMeta:
@@ -648,9 +616,34 @@ query("gen_cycle_backfill", _CYCLE)(_cycles(False))
 query("gen_cycle_deferred", _CYCLE)(_cycles(True))
 
 
-@query("gen_unique_fk_pairs", f"SELECT range AS id, spot // 30 AS a, spot % 30 AS b FROM (SELECT range, (range * 751 + {Sql.u(Sql.h(SEED, 'pairs', 'pairs', chr(39) + '0' + chr(39)))} % 1500) % 1500 AS spot FROM range(1500))")
+_PAIRS_AT = f"(range * 751 + {Sql.u(Sql.h(SEED, 'public.pairspairs_key', 'pairs', chr(39) + '0' + chr(39)))} % 1500) % 1500"
+
+
+@query("gen_unique_parents", f"SELECT range + 1 AS id, spot % 50 + 1 AS a_id, spot // 50 + 1 AS b_id FROM (SELECT range, {_PAIRS_AT} AS spot FROM range(1500))")
 def _(spark, sf_dir):
-    return generate.unique_pairs(spark.range(1500), "id", 50, 30, SEED, "pairs").select("id", F.col("__a").alias("a"), F.col("__b").alias("b"))
+    """Every combination of 50 and 30 parents once, by construction."""
+    fks = [ForeignKeyMeta(f"fk_{x}", [f"{x}_id"], f"public.{x}", ["id"]) for x in "ab"]
+    pairs = _table("pairs", [_serial(), ColumnMeta("a_id", "int8", False), ColumnMeta("b_id", "int8", False)], ["id"], fks, [UniqueMeta("pairs_key", ["a_id", "b_id"])])
+    schema = SchemaMeta([_table("a", [_serial()], ["id"]), _table("b", [_serial()], ["id"]), pairs])
+    return generate.generate(spark, schema, _rows(a=50, b=30, pairs=1500))["public.pairs"]
+
+
+def _redraws(rounds: int) -> str:
+    """The rounds of a unique column, spelt out: the first of each value by index is settled, the others draw again."""
+    drawn = lambda k: Sql.pick(_hs("t", "code", "CAST(rid AS VARCHAR)" + (f" || '#retry{k}'" if k else "")), 1_000_000)
+    parts = [f"r0 AS (SELECT rid, {drawn(0)} AS v FROM (SELECT range AS rid FROM {_ROWS}))", "a0 AS (SELECT min(rid) AS rid, v FROM r0 GROUP BY v)"]
+    for k in range(1, rounds):
+        before = " UNION ALL ".join(f"SELECT v FROM a{j}" for j in range(k))
+        parts += [f"r{k} AS (SELECT rid, {drawn(k)} AS v FROM r{k - 1} WHERE rid NOT IN (SELECT rid FROM a{k - 1}))", f"a{k} AS (SELECT min(rid) AS rid, v FROM r{k} WHERE v NOT IN ({before}) GROUP BY v)"]
+    return "WITH " + ", ".join(parts) + " SELECT rid + 1 AS id, CAST(v AS INTEGER) AS code FROM (" + " UNION ALL ".join(f"SELECT * FROM a{j}" for j in range(rounds)) + ")"
+
+
+@query("gen_unique_redraws", _redraws(8))
+def _(spark, sf_dir):
+    """A unique column of a million values for as many rows as there are orders."""
+    code = ColumnMeta("code", "int4", False, check_min=0, check_max=999_999)
+    schema = SchemaMeta([_table("t", [_serial(), code], ["id"], [], [UniqueMeta("t_code_key", ["code"])])])
+    return generate.generate(spark, schema, _rows(t=_count(spark, sf_dir, "orders")))["public.t"]
 
 
 @query("gen_unique_rounds")
@@ -697,6 +690,144 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(p).isDirectory()
 
 
+# --------------------------------------------------- masks that must fit, sequences
+_FAKE_NAME = f"{G.FakeSql.person_name('x')}"
+
+
+@query("mask_unique_varchar", f"SELECT p_partkey, left({_FAKE_NAME}, 13) || '-' || substr({_hs('part', 'p_name', 'CAST(p_partkey AS VARCHAR)', 'unique')}, 1, 16) AS p_name FROM (SELECT p_partkey, {_hs('part', 'p_name', 'CAST(p_partkey AS VARCHAR)')} AS x FROM part)")
+def _(spark, sf_dir):
+    """A fake in a unique varchar(30): cut first, so that the piece that keeps it apart still fits."""
+    t = testdata_schema()["part"]
+    t.column("p_name").type, t.column("p_name").max_length = "varchar", 30
+    t.unique.append(UniqueMeta("part_name_key", ["p_name"]))
+    config = _config(part__p_name=ColumnConfig("person_name", "fake"))
+    mask.validate(SchemaMeta([t]), config)
+    return mask.mask_table(_t(spark, sf_dir, "part"), t, config).select("p_partkey", "p_name")
+
+
+@query("mask_json_numbers_kept", "SELECT event_id, '{\"a\":1.50,\"b\":12345678901234567.891,\"k\":null,\"l\":[1e400,-0]}' AS props FROM events")
+def _(spark, sf_dir):
+    t = testdata_schema()["events"]
+    rows = _t(spark, sf_dir, "events").withColumn("props", F.lit('{"a":1.50,"b":12345678901234567.891,"k":5,"l":[1e400,-0]}'))
+    return mask.mask_table(rows, t, _config(events__props=ColumnConfig(json_paths={"k": "redact"}))).select("event_id", "props")
+
+
+@query("next_values", "SELECT 'public.customer' AS table_name, 'c_custkey' AS column_name, max(c_custkey) + 1 AS next_value FROM customer UNION ALL SELECT 'public.orders', 'o_orderkey', max(o_orderkey) + 1 FROM orders")
+def _(spark, sf_dir):
+    """Where sequences go on after a clone."""
+    schema = testdata_schema()
+    schema.tables = [schema[t] for t in ("region", "nation", "customer", "orders")]
+    schema["customer"].column("c_custkey").serial = schema["orders"].column("o_orderkey").identity = True
+    got = json.loads(next_values(clone.clone(spark, _source(spark, sf_dir), schema, Config(seed=SEED)), schema))
+    return spark.createDataFrame([(t, c, n) for t, own in got.items() for c, n in own.items()], "table_name string, column_name string, next_value long")
+
+
+# ------------------------------------------------------- metadata, as rows
+_DDL = """
+CREATE TYPE mood AS ENUM ('sad', 'ok');
+CREATE TABLE org (id bigint GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY, code varchar(20) UNIQUE, feeling mood NOT NULL, n int CHECK (n = 5));
+CREATE TABLE member (org_code varchar(8) REFERENCES org (code), seat int, boss int, name text NOT NULL, PRIMARY KEY (org_code, seat), FOREIGN KEY (org_code, boss) REFERENCES member, CHECK (seat > 0));
+CREATE UNIQUE INDEX member_name ON member (org_code, name);
+"""
+
+
+def _named(name: str, rows: list[tuple], names: list[str], make: Callable) -> None:
+    """A query whose few rows come from metadata: make(spark, sf_dir) gives them, `rows` are what they must be."""
+    kinds = ["BIGINT" if any(isinstance(r[i], int) for r in rows) else "VARCHAR" for i in range(len(names))]
+    schema = ", ".join(f"{n} {'long' if k == 'BIGINT' else 'string'}" for n, k in zip(names, kinds))
+    query(name, _typed(rows, names, kinds))(lambda spark, sf_dir: spark.createDataFrame([tuple(r) for r in make(spark, sf_dir)], schema))
+
+
+def _ddl() -> SchemaMeta:
+    return parse_ddl(_DDL)
+
+
+def _reason(call: Callable) -> str:
+    try:
+        call()
+    except SchemaError as e:
+        return str(e)
+    return "none"
+
+
+_named("ddl_columns", [("org", "id", "int8", None), ("org", "code", "varchar", 8), ("org", "feeling", "enum", None), ("org", "n", "int4", None), ("member", "org_code", "varchar", 8), ("member", "seat", "int4", None), ("member", "boss", "int4", None), ("member", "name", "text", None)], ["table_name", "column_name", "type_name", "max_length"], lambda spark, sf_dir: [(t.name, c.name, c.type, c.max_length) for t in _ddl().tables for c in t.columns])
+_named("ddl_enum_labels", [("feeling", "sad", 0), ("feeling", "ok", 1)], ["column_name", "label", "place"], lambda spark, sf_dir: [(c.name, x, i) for t in _ddl().tables for c in t.columns for i, x in enumerate(c.enum or [])])
+_named("ddl_unique_sets", [("org", "code"), ("member", "org_code,seat"), ("member", "org_code,name")], ["table_name", "columns"], lambda spark, sf_dir: [(t.name, ",".join(cols)) for t in _ddl().tables for n, cols in t.unique_sets() if cols != ["id"]])
+_named("ddl_foreign_keys", [("member", "org_code", "public.org", "code"), ("member", "org_code,boss", "public.member", "org_code,seat")], ["table_name", "columns", "ref_table", "ref_columns"], lambda spark, sf_dir: [(t.name, ",".join(k.columns), k.ref_table, ",".join(k.ref_columns)) for t in _ddl().tables for k in t.foreign_keys])
+_named("ddl_checks", [("org", "CHECK (n = 5)", 5, 5), ("member", "CHECK (seat > 0)", 1, None)], ["table_name", "definition", "least", "greatest"], lambda spark, sf_dir: [(t.name, k.definition, *checks.integer_bounds(k.definition)[1:]) for t in _ddl().tables for k in t.checks])
+
+
+def _catalog(spark: SparkSession) -> SchemaMeta:
+    """The same kind of rows as a database's catalog gives."""
+    none = (None,) * 4
+    columns = [("public", "a", "id", 1, False, "int4", "b", None, None, *none, True, False, None), ("public", "a", "mood", 2, True, "mood", "e", None, None, *none, False, False, None), ("public", "b", "a_id", 1, True, "int4", "b", None, None, *none, False, False, None), ("public", "b", "tags", 2, True, "_text", "b", None, "text", *none, False, False, None)]
+    keys = [("public", "a", "a_pkey", "p", "id", None, None, None, False, False, ""), ("public", "b", "b_fk", "f", "a_id", "public", "a", "id", True, False, ""), ("public", "a", "a_check", "c", "id", None, None, None, False, False, "CHECK ((id > 4))")]
+    return catalog.from_frames({
+        "columns": spark.createDataFrame(columns, "schema_name string, table_name string, column_name string, place int, nullable boolean, type_name string, type_kind string, base_name string, element_name string, max_length int, precision int, scale int, dimensions int, is_identity boolean, is_generated boolean, expression string"),
+        "constraints": spark.createDataFrame(keys, "schema_name string, table_name string, constraint_name string, kind string, column_names string, ref_schema string, ref_table string, ref_columns string, deferrable boolean, deferred boolean, definition string"),
+        "indexes": spark.createDataFrame([("public", "b", "b_tags", "a_id")], "schema_name string, table_name string, index_name string, column_names string"),
+        "enums": spark.createDataFrame([("mood", "ok", 2.0), ("mood", "sad", 1.0)], "type_name string, label string, place double"),
+    })
+
+
+_named("catalog_columns", [("public.a", "id", "int4", "identity"), ("public.a", "mood", "enum", "sad|ok"), ("public.b", "a_id", "int4", None), ("public.b", "tags", "array", "text")], ["table_name", "column_name", "type_name", "more"], lambda spark, sf_dir: [(t.qualified, c.name, c.type, "identity" if c.identity else "|".join(c.enum) if c.enum else c.element) for t in _catalog(spark).tables for c in t.columns])
+_named("catalog_constraints", [("public.a", "primary key", "id"), ("public.a", "check", "CHECK ((id > 4))"), ("public.b", "foreign key", "a_id -> public.a.id deferrable"), ("public.b", "unique", "a_id")], ["table_name", "kind", "said"], lambda spark, sf_dir: [x for t in _catalog(spark).tables for x in [*[(t.qualified, "primary key", ",".join(t.primary_key)) for _ in t.primary_key[:1]], *[(t.qualified, "check", k.definition) for k in t.checks], *[(t.qualified, "foreign key", f"{','.join(k.columns)} -> {k.ref_table}.{','.join(k.ref_columns)}" + " deferrable" * k.deferrable) for k in t.foreign_keys], *[(t.qualified, "unique", ",".join(u.columns)) for u in t.unique]]])
+
+
+@query("json_sensitive_keys", _values([("user.contact.phone", "phone"), ("user.email", "email")], ["path", "kind"]))
+def _(spark, sf_dir):
+    """Names of keys in a sample of documents, which is the feature; values aren't kept."""
+    doc = F.to_json(F.struct(F.struct(F.lit("x").alias("email"), F.struct(F.lit("1").alias("phone")).alias("contact")).alias("user"), F.col("value").alias("n")))
+    found = mask.sensitive_keys(_t(spark, sf_dir, "events").select(doc.alias("props")), "props")
+    return spark.createDataFrame(found, "path string, kind string")
+
+
+@query("profile_capture", "SELECT 'public.nation' AS table_name, count(*) AS row_count FROM nation UNION ALL SELECT 'public.region', count(*) FROM region UNION ALL SELECT 'public.customer', count(*) FROM customer")
+def _(spark, sf_dir):
+    """A profile captured from the source, written, and read again."""
+    schema = testdata_schema()
+    schema.tables = [schema[t] for t in ("region", "nation", "customer")]
+    got = profile.Profile.from_yaml(profile.capture(_source(spark, sf_dir), schema).to_yaml())
+    return spark.createDataFrame(sorted(got.rows.items()), "table_name string, row_count long")
+
+
+@query("copy_text", "SELECT CAST(r_regionkey AS VARCHAR) || chr(9) || r_name || '\\t\\\\' || chr(9) || '\\N' AS value FROM region")
+def _(spark, sf_dir):
+    import uuid
+
+    path = f"{scratch(spark)}/copy-{uuid.uuid4().hex}"
+    write_copy_text(_t(spark, sf_dir, "region").select("r_regionkey", F.concat("r_name", F.lit("\t\\")).alias("r_name"), F.lit(None).cast("string").alias("none")), path)
+    return spark.read.text(path)
+
+
+@query("in_place_dry_run", "SELECT 'public.customer' AS table_name, 'c_name' AS columns, count(*) AS row_count FROM customer UNION ALL SELECT 'public.orders', 'o_orderpriority', count(*) FROM orders")
+def _(spark, sf_dir):
+    schema = testdata_schema()
+    schema.tables = [schema[t] for t in ("customer", "orders")]
+    got = clone.mask_in_place(spark, _source(spark, sf_dir), schema, _config(orders__o_orderpriority=ColumnConfig(mask="hash")), "unused", dry_run=True)
+    return spark.createDataFrame([(n, ",".join(x["columns"]), x["rows"]) for n, x in got.tables.items()], "table_name string, columns string, row_count long")
+
+
+_CYCLE_DDL = "CREATE TABLE a (id uuid PRIMARY KEY, b_id uuid NOT NULL); CREATE TABLE b (id uuid PRIMARY KEY, a_id uuid NOT NULL REFERENCES a DEFERRABLE); ALTER TABLE a ADD FOREIGN KEY (b_id) REFERENCES b"
+_named("deferred_order", [(0, "public.b"), (1, "public.a")], ["place", "table_name"], lambda spark, sf_dir: list(enumerate(graph.deferred_write_order(parse_ddl(_CYCLE_DDL), ["public.a", "public.b"]))))
+_named("rows_rule", [("public.a", 0), ("public.b", 7), ("public.c", 100)], ["table_name", "row_count"], lambda spark, sf_dir: [(t, rows_for(Config(tables={"public.a": TableConfig(rows=0)}), {"public.a": 9, "public.b": 7}, t)) for t in ("public.a", "public.b", "public.c")])
+_CONFIG = Config(seed="q", tables={"public.t": TableConfig(5, "mask", {"email": ColumnConfig("email", "fake"), "js": ColumnConfig(json_paths={"a.b": "hash"})})})
+_named("config_round_trip", [("q", "public.t", 5, "email", "fake", "email", None), ("q", "public.t", 5, "js", None, None, "a.b=hash")], ["seed", "table_name", "row_count", "column_name", "mask", "generator", "paths"], lambda spark, sf_dir: [(c.seed, n, t.rows, k, x.mask, x.generator, ",".join(f"{p}={m}" for p, m in x.json_paths.items()) or None) for c in [Config.from_yaml(_CONFIG.to_yaml())] for n, t in c.tables.items() for k, x in t.columns.items()])
+_named("config_checks_as_comments", [("  # check org_n_check: CHECK (n = 5)",)], ["line"], lambda spark, sf_dir: [(x,) for x in Config(tables={"public.org": TableConfig(1)}).to_yaml(_ddl()).splitlines() if "check" in x])
+_named("mask_refusals", [("hash on a number", "public.org.n: hash gives text, the column is int4"), ("mask on a key", "public.org.id: a key column can't be masked; its values are what rows refer to"), ("path in no document", "public.member.name: json_paths on a column that isn't JSON")], ["what", "reason"], lambda spark, sf_dir: [(what, _reason(lambda t=t, c=c, x=x: mask.validate(_ddl(), Config(tables={f"public.{t}": TableConfig(columns={c: x})})))) for what, t, c, x in [("hash on a number", "org", "n", ColumnConfig(mask="hash")), ("mask on a key", "org", "id", ColumnConfig(mask="hash")), ("path in no document", "member", "name", ColumnConfig(json_paths={"a": "hash"}))]])
+_named("root_refusals", [("orders", "a root needs the form '<table> WHERE <condition>': orders"), (" where a = 1", "the root names no table"), ("orders where ", "the root has an empty condition"), ("x where a = 1", "the root names an unknown table x")], ["root", "reason"], lambda spark, sf_dir: [(r, _reason(lambda r=r: parse_root(r, testdata_schema()))) for r in ("orders", " where a = 1", "orders where ", "x where a = 1")])
+_named("subset_cap", [("the subset has more than 2 rows; nothing was written",)], ["reason"], lambda spark, sf_dir: [(_reason(lambda: subset(_source(spark, sf_dir), testdata_schema(), "region WHERE r_regionkey = 1", 2)),)])
+_named("snapshot_drift", [("public.region: the snapshot lacks column extra",), ("public.region: the target lacks column r_name",)], ["reason"], lambda spark, sf_dir: [(_reason(lambda h=h, w=w: clone.check_columns(testdata_schema()["region"], h, w)),) for h, w in ((["r_regionkey"], ["r_regionkey", "extra"]), (["r_regionkey", "r_name"], ["r_regionkey"]))])
+_named("hybrid_refusal", [("public.orders.orders_o_custkey_fkey: a masked table refers to public.customer, whose rows are generated",)], ["reason"], lambda spark, sf_dir: [(_reason(lambda: validate_hybrid(SchemaMeta([t for t in testdata_schema().tables if t.name in ("region", "nation", "customer", "orders")]), Config(tables={"public.customer": TableConfig(5, "generate")}))),)])
+_named("exhausted_domain", [("public.t: t_b_key (b) can't be made unique: its own domain has too few values for the rows asked for",)], ["reason"], lambda spark, sf_dir: [(_reason(lambda: generate.Generator(spark, s, Config()).exhausted(s["t"], s["t"].unique_sets()[1:]) and _raise(generate.Generator(spark, s, Config()).exhausted(s["t"], s["t"].unique_sets()[1:]))),) for s in [parse_ddl("CREATE TABLE t (id serial PRIMARY KEY, b boolean NOT NULL UNIQUE)")]])
+_named("url_without_password", [("jdbc:postgresql://h/d?user=u&password=***",)], ["url"], lambda spark, sf_dir: [(JdbcSource(None, jdbc_url("postgres://u:secret@h/d")).describe(),)])
+_named("sequence_sql", [("""SELECT setval(pg_get_serial_sequence('"public"."t"', 'id'), 4, false)""",)], ["statement"], lambda spark, sf_dir: [(x,) for x in sequence_statements({"public.t": {"id": 4}})])
+
+
+def _raise(text: str) -> None:
+    raise SchemaError(text)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: masked customers of a referentially complete subset, each with the number of its orders and events in it."""
     got = clone.clone(spark, _source(spark, sf_dir), testdata_schema(), Config(seed=SEED), _ROOT, most_rows=None)
@@ -717,4 +848,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["NUL", "ParquetSource", "entry", "matching", "oracle_sql", "pick", "queries", "tempfile"]
+__all__ = ["entry", "oracle_sql", "queries"]
