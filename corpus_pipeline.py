@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; its result is
 written as Parquet and is the next one's docs. All but the last keep the columns
 of documents.
+
+Nulls and odd input: rows are decided about one by one, by a key of their own, so ids may be null or repeat without
+a row answering for another one; a null text is judged as an empty one and stays null where the row stays; equal rows are near
+copies, so one of them stays; further columns are carried to the last stage, which gives digests; an empty table goes through as an empty one.
 """
 
 from __future__ import annotations
