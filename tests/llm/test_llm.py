@@ -898,3 +898,119 @@ def test_leaks_of_edited_passages(spark):
     got = {(r.doc_id, r.item_id) for r in decon.contaminated(d, b).collect()}
     assert got <= {*want} and len(got) >= 0.98 * len(want) and len(want) > 150
     assert all(len(texts[i].split()) for i, _ in got) and bench
+
+
+# ------------------------------------------- 2 and 4 by brute force, the pipeline
+def test_language_by_brute_force():
+    """Features by dictionaries, the nearest centroid by a loop."""
+    import math
+
+    big = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang.Model(list(big.text[:300]), list(big.lang[:300]), dims=256, per_language=3)
+
+    def counts(text):
+        out = [0] * 256
+        kept = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                h = 0
+                for j, c in enumerate(kept[i : i + n]):
+                    h = (h * 0x100000001B3 + ord(c) + j + 1) % (1 << 64)
+                out[h * 0x9E3779B97F4A7C15 % (1 << 64) >> 56] += 1
+        return out
+
+    texts = [*big.text[300:330].str.slice(0, 400), "Ünïcode, ça va?  1a2b", "x"]
+    got = model.grams.counts(texts)[0]
+    assert got.tolist() == [counts(t) for t in texts]
+    names, scores, _ = model.predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        x = [math.sqrt(c) * w for c, w in zip(counts(t), model.idf.tolist())]
+        size = math.sqrt(sum(v * v for v in x))
+        near = {}
+        for centre, owner in zip(model.centres.tolist(), model.owner.tolist()):
+            near[owner] = max(near.get(owner, -2), sum(a * b for a, b in zip(x, centre)) / size)
+        best = max(near, key=lambda k: near[k])
+        assert model.names[best] == name and score == pytest.approx(1 / sum(math.exp(20 * (v - near[best])) for v in near.values()), rel=1e-3)
+    fitted = np.array([counts(t) for t in big.text[:300].str.slice(0, 100)])
+    assert fitted.shape == (300, 256)
+    # idf by counting documents
+    whole = lang.Model(list(big.text[:40].str.slice(0, 200)), list(big.lang[:40]), dims=256)
+    df = (np.array([counts(t) for t in big.text[:40].str.slice(0, 200)]) > 0).sum(axis=0)
+    assert np.allclose(whole.idf, np.log(41 / (1 + df)) + 0.1, atol=1e-5)
+
+
+def test_centroids_are_means_of_the_texts_nearest_to_them():
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(200, 6))) + 5 * np.eye(6)[rng.integers(0, 6, 200)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = lang._spherical(x, 4, rounds=100)
+    own = [max(range(len(c)), key=lambda j: sum(a * b for a, b in zip(v, c[j]))) for v in x]
+    for j in range(len(c)):
+        mean = x[[k for k, o in enumerate(own) if o == j]].sum(axis=0)
+        assert np.allclose(c[j], mean / np.linalg.norm(mean), atol=1e-9)
+
+
+def test_language_learns_every_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(None if k % 2 else k, f"{a}{b} {a}{a}{b} {b}{a}", f"l{a}{b}") for k, (a, b) in enumerate((a, b) for a in letters for b in letters if a < b)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.fit(df)
+    assert len(model.names) == 325  # more than any cap, and equal rows teach once
+    assert (np.array(model.predict([r[1] for r in rows[:325]])[0]) == [r[2] for r in rows[:325]]).mean() > 0.9
+
+
+def test_quality_counts_and_basis(spark):
+    texts = ["Ab a ab!", "One two one two one\n", "", "ÀÉ 12", "x " * 50]
+    looks = quality.Looks(256)
+    got, half = looks.counts(texts), (256 - 8) // 2
+
+    def slot(h, width):
+        return (h * 0x9E3779B97F4A7C15 % (1 << 64) >> 40) * width >> 24
+
+    def sign(c):
+        return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "\n" if c in "\r\n" else " " if c.isspace() else "a" if c.isalpha() else c
+
+    for t, row in zip(texts, got.tolist()):
+        want, line = [0] * (2 * half), t + "\n"
+        for base, said, orders in ((0, "".join(map(sign, line)), (1, 2, 3, 4)), (half, "".join(c.lower() if c.isascii() else c for c in line), (2,))):
+            for n in orders:
+                for i in range(len(said) - n + 1):
+                    h = 0
+                    for j, c in enumerate(said[i : i + n]):
+                        h = (h * 0x100000001B3 + ord(c) + j + 1) % (1 << 64)
+                    want[base + slot(h, half)] += 1
+        assert row[: 2 * half] == want, t
+    d = pd.read_parquet(f"{SMALL}/documents.parquet").merge(pd.read_parquet(f"{SMALL}/labels.parquet"))
+    model = quality.Model(list(d.text), list(d.quality), rank=8)
+    counts = model.looks.counts(list(d.text)).astype(float)
+    x = np.sqrt(counts) * (np.log((1 + len(d)) / (1 + (counts > 0).sum(axis=0))) + 0.2)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = np.linalg.svd(x, full_matrices=False)[2][:8]
+    b = model.basis.astype(float)
+    assert np.allclose(b.T @ b, np.eye(8), atol=1e-3) and np.linalg.norm(x @ b) ** 2 > 0.999 * np.linalg.norm(x @ v.T) ** 2
+    # an id whose labels differ teaches nothing, however its rows are dealt
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1)], "doc_id long, quality int")
+    docs_ = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a2"), (3, "c"), (None, "d")], "doc_id long, text string")
+    assert quality.sample(docs_, labels, "quality", 10) == (["a2"], [1])
+
+
+def test_pipeline_stages_by_brute_force(spark, tokenizer):
+    import corpus_pipeline as p
+
+    sf = SMALL
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd_rows = [(None, None), (None, "no id but a mail x@y.org here"), (5, ""), (5, "z " * 30), (5, "z " * 30)]
+    docs_ = base.unionByName(spark.createDataFrame(odd_rows, "doc_id long, text string"), allowMissingColumns=True).repartition(3)
+    rows = [(r.doc_id, r.text) for r in docs_.collect()]
+    kept = p.stage(p.quality(spark, docs_, sf), "t-quality")
+    model = quality.fit(docs_, spark.read.parquet(f"{sf}/labels.parquet").where(quality.crc_mod(F.col("doc_id"), 5) != 0))
+    want = [r for r, s in zip(rows, model.score([t or "" for _, t in rows])) if s >= quality.THRESHOLD]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    last = p.bpe(spark, p.stage(p.pii(spark, kept, sf), "t-pii"), sf)
+    texts = [(r.doc_id, r.text) for r in p.pii(spark, kept, sf).select("doc_id", "text").collect()]
+    ids = lambda t: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in last.collect()), key=str) == sorted(((i, len(ids(t)) // 4, sha(ids(t))) for i, t in texts), key=str)
+    none = docs_.limit(0)
+    for name, step in p.STAGES:
+        none = p.stage(step(spark, none, sf), f"t-none-{name}")
+        assert none.count() == 0
