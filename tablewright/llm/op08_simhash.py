@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, keyed, stage, without
+from .common import byte_texts, discard, keyed, stage, without
 
 SEED = 42
 LEAF = 32
@@ -260,7 +260,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     now = stage(edges.where("a != b").distinct(), name)
     before = state(now)
     for _ in range(most_rounds):
-        now = stage(star(star(now, True), False), name)
+        old, now = now, stage(star(star(now, True), False), name)
+        discard(old)
         after = state(now)
         if tuple(after) == tuple(before):
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
