@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
 from .functions import generators as G
 from .functions.hashing import Sql, h, row_identity, uniform01
 from .operators import classify, clone, constraints, generate, mask, profile
 from .operators.subset import parse_root, subset
 from .plans import checks, graph
-from .plans.config import ColumnConfig, Config, TableConfig, rows_for, validate_hybrid
+from .plans.config import ColumnConfig, Config, LogicalKey, TableConfig, merge_logical_keys, rows_for, validate_hybrid
 from .plans.ddl import parse_ddl
 from .plans.meta import ColumnMeta, ForeignKeyMeta, SchemaError, SchemaMeta, TableMeta, UniqueMeta, testdata_schema
 from .sources import catalog, migrate
@@ -824,6 +826,37 @@ _named("url_without_password", [("jdbc:postgresql://h/d?user=u&password=***",)],
 _named("sequence_sql", [("""SELECT setval(pg_get_serial_sequence('"public"."t"', 'id'), 4, false)""",)], ["statement"], lambda spark, sf_dir: [(x,) for x in sequence_statements({"public.t": {"id": 4}})])
 
 
+_named("referenced_tables", [(f"public.{t}",) for t in ("customer", "nation", "orders", "part", "region", "supplier")], ["table_name"], lambda spark, sf_dir: [(t,) for t in sorted(graph.referenced(testdata_schema()))])
+_named("narrowed_lengths", [("org", 8), ("member", 8)], ["table_name", "max_length"], lambda spark, sf_dir: [(t.name, t.column(c).max_length) for t, c in ((_ddl()["org"], "code"), (_ddl()["member"], "org_code"))])
+_named("server_keys_in_a_deferred_cycle", [("public.b.b_a_id_fkey refers to a server-assigned key of public.a inside a deferred cycle",)], ["reason"], lambda spark, sf_dir: [(_reason(lambda: graph.check_deferred(parse_ddl("CREATE TABLE a (id serial PRIMARY KEY, b_id uuid NOT NULL); CREATE TABLE b (id uuid PRIMARY KEY, a_id int NOT NULL REFERENCES a DEFERRABLE); ALTER TABLE a ADD FOREIGN KEY (b_id) REFERENCES b"), ["public.a", "public.b"], True)),)])
+_named("logical_keys", [("public.events", "user_id", "public.customer", "c_custkey")], ["table_name", "columns", "ref_table", "ref_columns"], lambda spark, sf_dir: [(t.qualified, ",".join(k.columns), k.ref_table, ",".join(k.ref_columns)) for t in _logical().tables for k in t.foreign_keys if k.logical])
+_named("dry_tree_and_rows", [("1. Simple: public.region (5 rows)",), ("2. Simple: public.nation (1,234 rows)",), ("",), ("public.region",), ("  public.nation",)], ["line"], lambda spark, sf_dir: [(x,) for x in cli.plan_report(SchemaMeta([testdata_schema()[t] for t in ("region", "nation")]), Config(tables={"public.region": TableConfig(5), "public.nation": TableConfig(1234)})).split("\n")])
+_named("init_findings", [("1 tables",), ("1 JSON columns",), ("sensitive keys in JSON documents (names only, from a sample):",), ("  events.props.mail.email  email",)], ["line"], lambda spark, sf_dir: [(x,) for x in cli.init_report(SchemaMeta([_alone(testdata_schema()["events"])]), FrameSource({"public.events": _t(spark, sf_dir, "events").withColumn("props", F.lit('{"mail":{"email":"x"}}'))})).split("\n")])
+_named("sizes_for_people", [(12, "12", "12 B"), (1536, "1,536", "1.5 KiB"), (3221225472, "3,221,225,472", "3.0 GiB")], ["n", "as_count", "as_size"], lambda spark, sf_dir: [(n, cli.format_count(n), cli.format_bytes(n)) for n in (12, 1536, 3 << 30)])
+
+
+def _logical() -> SchemaMeta:
+    schema = testdata_schema()
+    schema["events"].foreign_keys.clear()
+    merge_logical_keys(schema, Config(tables={"public.events": TableConfig(logical_foreign_keys=[LogicalKey(["user_id"], "public.customer", ["c_custkey"])])}))
+    return schema
+
+
+def _alone(t: TableMeta) -> TableMeta:
+    t.foreign_keys.clear()
+    return t
+
+
+@query("lock_round_trip", _values(_SENSITIVE, ["table_name", "column_name", "classification"]))
+def _(spark, sf_dir):
+    """The classification, written to a lock file, read again and found to fit."""
+    with tempfile.TemporaryDirectory() as folder:  # a small file of the driver's own
+        classify.write_lock(classify.classify(testdata_schema()), f"{folder}/lock.yaml")
+        classify.strict_gate(testdata_schema(), f"{folder}/lock.yaml")
+        lock = classify.load_lock(f"{folder}/lock.yaml")
+    return spark.createDataFrame([(t, c, x) for t, own in lock.items() for c, x in own.items()], "table_name string, column_name string, classification string")
+
+
 def _raise(text: str) -> None:
     raise SchemaError(text)
 
