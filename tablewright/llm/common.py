@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -45,11 +46,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    for paths in _RECORDS:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """Gives a list of the paths that are staged inside."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def discard_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for path in paths:
+        _remove(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a staged table that nothing reads any more."""
     _remove(df.sparkSession, df.staged_at)
