@@ -11,34 +11,65 @@ copies, so one of them stays; further columns are carried to the last stage, whi
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import op03_bpe, op04_quality, op06_pii, op08_simhash, op10_decontam
-from tablewright.llm.common import stage, table
+from tablewright.llm.common import discard, discard_paths, recorded, stage, table
+
+
+#: Bytes of an Arrow batch, and the setting: workers and the JVM hold a few batches at a time.
+BATCH, SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+#: Tables that the last step staged for itself; the next step removes them, as the last one's result is written by then.
+_LEFT: list[str] = []
+
+
+def lean(step):
+    """step with Arrow batches of at most BATCH bytes in its session, unless the session has its own setting, and without the working tables of the step before."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(SETTING, None) in (None, "67108864b", "64m"):  # Spark's default
+            spark.conf.set(SETTING, str(BATCH))
+        discard_paths(spark, _LEFT)
+        with recorded() as paths:
+            out = step(spark, docs, sf_dir)
+        _LEFT[:] = paths
+        return out
+
+    return run
 
 
+@lean
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier rejects go."""
     return op04_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@lean
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies exactly one row stays: the one with the group's smallest doc_id, whether ids are null or repeat."""
     return op08_simhash.keep_one(docs)
 
 
+@lean
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go."""
     return op10_decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@lean
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and the terms that give it away, are replaced in the texts; n_chars follows."""
     out = op06_pii.sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
+@lean
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text and their digests."""
     return op03_bpe.encode_decode(docs, keep_ids=True)
@@ -51,7 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if old is not None:
+            discard(old)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
