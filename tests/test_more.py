@@ -53,6 +53,25 @@ def test_unique_rounds_draw_losers_only(spark):
     assert len({r.a for r in rows}) == 200 == len({(r.b, r.c) for r in rows})
 
 
+@pytest.mark.parametrize(("rows", "most"), [(380, 399), (300, 299)])
+def test_unique_values_fill_their_domain(spark, monkeypatch, rows, most):
+    monkeypatch.setattr(generate, "RETRIES", 3)  # the rest takes free values, whatever the number
+    t = parse_ddl("CREATE TABLE t (id serial PRIMARY KEY, a int NOT NULL UNIQUE, b int GENERATED ALWAYS AS (a + 1) STORED)")
+    t["t"].column("a").check_min, t["t"].column("a").check_max = 0, most
+    got = generate.generate(spark, t, conf(rows=rows))["public.t"]
+    assert dict(got.dtypes)["a"] == "int"
+    got = got.collect()
+    assert sorted(r.id for r in got) == list(range(1, rows + 1)) and len({r.a for r in got}) == rows
+    assert all(0 <= r.a <= most and r.b == r.a + 1 for r in got)
+
+
+def test_more_unique_rows_than_values(spark):
+    t = parse_ddl("CREATE TABLE t (id serial PRIMARY KEY, a int NOT NULL UNIQUE)")
+    t["t"].column("a").check_min, t["t"].column("a").check_max = 0, 9
+    with pytest.raises(SchemaError, match="too few values"):
+        generate.generate(spark, t, conf(rows=11))
+
+
 def test_subset_reads_whole_rows_once(spark):
     schema = parse_ddl("CREATE TABLE n (id int PRIMARY KEY, up int REFERENCES n, wide text); CREATE TABLE c (id int PRIMARY KEY, n_id int REFERENCES n, m_id int REFERENCES n, wide text)")
     src = io.FrameSource({"public.n": spark.createDataFrame([(i, i // 2 or None, "w" * 50) for i in range(1, 40)], "id int, up int, wide string"), "public.c": spark.createDataFrame([(i, i % 39 + 1, None if i % 3 else 7, "x") for i in range(100)], "id int, n_id int, m_id int, wide string")})

@@ -43,6 +43,16 @@ def test_unique_rounds_is_unique(spark, sf):
     assert len(got) == 1200 and got.code.is_unique and got.code.between(0, 2999).all()
 
 
+def test_unique_redraws_where_values_are_scarce(spark, tmp_path):
+    """900,000 rows for a million values: eight rounds don't settle all of them, and the SQL gives those that they do."""
+    spark.range(900_000).toDF("o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = Q.QUERIES["gen_unique_redraws"](spark, str(tmp_path)).toPandas().sort_values("id", ignore_index=True)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(Q.SQL["gen_unique_redraws"] + " ORDER BY id").df()
+    assert 800_000 < len(got) < 900_000 and got.code.is_unique and got.equals(want.astype(got.dtypes))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
