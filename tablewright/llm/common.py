@@ -78,6 +78,12 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df.staged_at)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and so return the heap that they don't use to the system; else a heap stays as large as it once was, beside the Python workers of whatever comes next. As many tasks as there are cores."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def share(spark: SparkSession, thing):
     """Broadcasts an object; the function returned gives it back in a task. The object's class travels along, so executors need no copy of this package."""
     from pyspark import cloudpickle

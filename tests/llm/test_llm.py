@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -1014,3 +1015,38 @@ def test_pipeline_stages_by_brute_force(spark, tokenizer):
     for name, step in p.STAGES:
         none = p.stage(step(spark, none, sf), f"t-none-{name}")
         assert none.count() == 0
+
+
+_GIVES_BACK = """
+import re, sys, time
+from pathlib import Path
+import psutil
+from pyspark.sql import SparkSession, functions as F
+import corpus_pipeline
+s = SparkSession.builder.master("local-cluster[2,2,1500]").config("spark.executor.memory", "1200m").config("spark.executor.extraJavaOptions", "-XX:ActiveProcessorCount=2").config("spark.checkpoint.dir", "file://" + sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+def used():
+    own = [p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline())]
+    return max(sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path(f"/proc/{p.pid}/smaps_rollup").read_text()))) / 1024 for p in own)
+words = s.range(0, 20_000_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("x"))
+words.groupBy(F.substring("x", 1, 5)).agg(F.collect_list(F.substring("x", 1, 9))).write.format("noop").mode("overwrite").save()
+before = used()
+docs = corpus_pipeline.lean(lambda spark, docs, sf_dir: docs)(s, s.range(1), "")
+time.sleep(2)
+print("MB", before, used())
+def env(batches):
+    import os
+    import pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([pa.default_memory_pool().backend_name] * b.num_rows)], names=["x"])
+print("POOL", docs.mapInArrow(env, "x string").first().x)
+"""
+
+
+def test_a_stage_starts_without_the_heap_of_the_one_before(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", _GIVES_BACK, str(tmp_path)], cwd=tmp_path, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300).stdout
+    before, after = map(float, said.split("MB ")[1].split("\n")[0].split())
+    assert before > 700 and after < 0.6 * before and "POOL system" in said
